@@ -238,7 +238,7 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     t = _traded(spark, d)
     x = trailing(entity_calendar(t), t, WINDOWS)
     return x.select(
-        F.col("entity").alias("listing_id"), _text("day").alias("day"), *[F.round(f"{n}_{w}", r).alias(f"{n}_{w}") for w in WINDOWS for n, r in (("total", 4), ("average", 6))], "active_7", "active_30"
+        F.col("entity").alias("listing_id"), _text("day").alias("day"), *[F.round(f"{n}_{w}", r).alias(f"{n}_{w}") for w in WINDOWS for n, r in (("total", 6), ("average", 6))], "active_7", "active_30"
     )
 
 
@@ -260,8 +260,8 @@ SQL["p6_rolling"] = (
 c AS (SELECT listing_id, unnest(generate_series(f, e, INTERVAL 1 DAY))::DATE AS day FROM s),
 x AS (SELECT c.listing_id, c.day, t.a, t.date IS NOT NULL AS traded FROM c LEFT JOIN t ON t.listing_id = c.listing_id AND t.date = c.day)
 SELECT listing_id, strftime(day, '%Y-%m-%d') AS day,
-       round(coalesce(sum(a) OVER w7, 0), 4) AS total_7, round(coalesce(sum(a) OVER w7, 0) / 7, 6) AS average_7,
-       round(coalesce(sum(a) OVER w30, 0), 4) AS total_30, round(coalesce(sum(a) OVER w30, 0) / 30, 6) AS average_30,
+       round(coalesce(sum(a) OVER w7, 0), 6) AS total_7, round(coalesce(sum(a) OVER w7, 0) / 7, 6) AS average_7,
+       round(coalesce(sum(a) OVER w30, 0), 6) AS total_30, round(coalesce(sum(a) OVER w30, 0) / 30, 6) AS average_30,
        count(*) FILTER (WHERE traded) OVER w7 AS active_7, count(*) FILTER (WHERE traded) OVER w30 AS active_30
 FROM x WINDOW w7 AS (PARTITION BY listing_id ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY listing_id ORDER BY day ROWS 29 PRECEDING)"""
 )
