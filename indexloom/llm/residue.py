@@ -1,0 +1,272 @@
+"""Template residue and error-page text.
+
+Texts are cut into lines (at line ends, sentence ends and page tags). Lines are counted per host
+after normalisation; a line that recurs in many documents of a host and is not itself a message
+is boilerplate and is subtracted. What remains of a document, its residual, is residue if
+
+* a line of it holds evidence: an unfilled placeholder, filler copy, an error or session message,
+  or a notice that scripts or cookies are needed; or
+* nothing but such hints remains: every line of the residual merely names an error or a script
+  setting (a weak hint), so that no content of its own is left.
+
+A line that reports on such things (``a client asked whether ...``, ``the reviewer sent it
+back``) is authored text and no evidence.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import cache
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..checkpoints import cut
+
+#: Tags of a page's own markup; placeholders in angle brackets are not among them.
+TAGS = r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|br|noscript|script|meta|center|hr|ul|li)\b[^<>]{0,200}>"
+
+# A name as a template would hold it: one to four words, or joined by underscores or dots, maybe with a filter.
+_NAME = r"[A-Za-z][A-Za-z0-9_.]{0,40}(?: [A-Za-z][A-Za-z0-9_.]{0,40}){0,3}(?: ?\| ?[a-z_]+(?:\([^)\n]{0,20}\))?){0,3}"
+# Field names that betray a placeholder even in quotation marks.
+_FIELD = r"(?:[A-Za-z]+_[A-Za-z_]+|[a-z]+[A-Z][A-Za-z]+|[A-Z]{3,}|(?:Company|Index) ?Name|Index|issuer|symbol|ticker|date|time|month|amount|count|ratio|pct|percentage|ccy|currency|shares|country|market|sector|industry|ref)"
+
+PLACEHOLDER = [
+    r"\{\{[^{}\n]{0,80}\}\}",
+    r"\{%[^%\n]{0,80}%\}",
+    r"\{#[^#\n]{0,80}#\}",
+    r"[$#]\{[^{}\n]{0,80}\}",
+    r"<[%?]=?[^<>\n]{0,80}[%?]>",
+    r"\[\[[^\[\]\n]{1,60}\]\]",
+    r"<<[^<>\n]{1,60}>>",
+    r"@@[^@\n]{1,60}@@",
+    r"%%" + _NAME + "%%",
+    r"(?<![\w%])%[A-Za-z_]{2,40}%(?![\w%])",
+    r"__[A-Za-z][A-Za-z_ ]{0,40}__",
+    r"_{4,}",
+    r"</?w:[a-zA-Z]+[^<>\n]{0,60}/?>",
+    r"\bMERGEFIELD\b",
+    r"&lt;" + _NAME + "&gt;",
+    r"<TB[ACD]\b",
+    r"<(?:insert|enter|add|your)\b[^<>\n]{0,60}>",
+    r"<" + _FIELD + ">",
+    r"«" + _FIELD + "»",
+    r"‹" + _FIELD + "›",
+    r"~" + _FIELD + "~",
+    r"<!--\s*[A-Z ]+\s*-->",
+    r"\{[A-Za-z][A-Za-z0-9_]{1,40}(?:[ .|][A-Za-z0-9_|(). ]{0,40})?\}",
+    r"\{\d{1,2}\}",
+    r"\[\s*[●•]\s*\]",
+    r"\[" + _FIELD + r"(?: ?[A-Z]+){0,3}\]",
+    r"\[(?:TBC|TBD|TBA|XX+|xx+)\]",
+    r"(?i:[\[(](?:please )?(?:insert|add|enter|fill in|your)\b[^\[\]()\n]{1,60}[\])])",
+    r"(?i:[\[(][^\[\]()\n]{0,60}\b(?:einfügen|eintragen|insérer|à compléter|insertar|completar)\b[^\[\]()\n]{0,40}[\])])",
+    r"(?<![\w%])%(?:[sd]|\.\d+f)(?!\w)",
+    r"#(?:REF|VALUE|DIV/0|NUM|NULL)!|#NAME\?|#N/A",
+    r"\[object [A-Z]\w*\]",
+    r"\bundefined\b",
+    r"(?<![\w'/])(?:NaN|NaT|nan|NULL|null|nil)(?![\w'/])",
+    r"\(null\)",
+    r"(?<=[\w)\],] )None(?! of\b)(?![\w'])|\(None\)",
+    r"\bXX[/.-]XX\b|\bXX+,XXX\b|\bX,XXX\b|\b20XX\b|(?<![\w])XX(?: ?%|\.XX)|\bXXXX+\b",
+    r"^\W*(?:TODO|FIXME)\b",
+    r"\bInvalid [Dd]ate\b|\b0000-00-00\b",
+]
+
+# The pseudo-Latin words of filler copy.
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum".split()
+
+FILLER = [
+    r"(?i:(?:\b(?:" + "|".join(LATIN) + r")\b[\s,.]*){4})",
+    r"(?i:\b([a-z]{1,12})(?:[\s,.]+\1\b){5})",
+    r"(?i:\b(?:asdf|qwer|qwertz?y?)(?:\s+(?:asdf|qwer|qwertz?y?|jkl))+)",
+    r"(?i:^\W*lorem ipsum)",
+    r"(?i:\bdummy (?:notice|text|copy|content) for\b)",
+    r"(?i:\bthis is (?:a )?(?:placeholder|dummy|sample|filler)\b)",
+    r"(?i:\bplaceholder (?:copy|text) for\b)",
+    r"(?i:^\W*(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)\b(?:,| to be replaced| goes here|\.|$))",
+    r"(?i:^\W*(?:insert|write|add) (?:a |the )?(?:summary|headline|title|notice text|text|body|lead|content)\b)",
+    r"(?i:^\W*draft shell\b)",
+    r"(?i:\b(?:headline|text|copy|title|content) goes here\b)",
+    r"(?i:\bblindtext für\b|\bhier steht (?:ein )?(?:beispiel|blind|muster)text|^\W*(?:beispiel|blind|muster|platzhalter)text\b)",
+    r"(?i:\bceci est un (?:faux )?texte\b|^\W*texte d['’]exemple|\btexte de remplissage\b|^\W*faux texte\b)",
+    r"(?i:\beste es un texto de relleno|^\W*texto de (?:ejemplo|relleno|prueba))",
+]
+
+SCRIPT = [
+    r"<noscript",
+    r"(?i:\b(?:enable|turn on|switch on|activate|allow)\b(?:\s\w+){0,3}\s(?:java ?scripts?|scripts?|scripting|cookies)\b)",
+    r"(?i:\b(?:requires?|needs?)\b(?:\s\w+){0,2}\s(?:java ?script|scripting|cookies)\b)",
+    r"(?i:\bworks best with (?:java ?)?script)",
+    r"(?i:\bbrowser (?:does not|doesn't) (?:support|allow|run) (?:java ?)?script)",
+    r"(?i:\b(?:java ?scripts?|scripts?|scripting|cookies) (?:is|are|may be|might be|seems?|appears?|must be)\b[^.\n]{0,30}\b(?:blocked|disabled|off|enabled|on)\b)",
+    r"(?i:^\W*loading ?(?:\.\.\.|…))",
+    r"(?i:\b(?:aktivieren|erlauben) sie\b(?:\s\w+){0,3}\s(?:java ?script|skripte?|cookies))",
+    r"(?i:\bbenötigt (?:java ?script|cookies)|\b(?:skripte|java ?script|cookies)\b[^.\n]{0,30}\b(?:ausgeschaltet|deaktiviert|blockiert|gesperrt))",
+    r"(?i:\b(?:veuillez|merci d['’]) ?activer\b(?:\s\w+){0,3}\s(?:java ?script|les scripts|les cookies))",
+    r"(?i:\bnécessite (?:java ?script|les cookies)|\b(?:scripts|java ?script|cookies) (?:sont|est) (?:désactivés?|bloqués?))",
+    r"(?i:\bactive (?:java ?script|las cookies|los scripts)|\b(?:requiere|necesita) (?:java ?script|cookies) y\b|\b(?:scripts|java ?script|cookies) est[áa]n? (?:desactivad|bloquead))",
+]
+
+# Messages that are a page's title or whole answer: they stand alone, after a code, or before the next capital.
+_TITLE = (
+    r"page not found|the page you asked for does not exist|forbidden|access denied|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|request timed out|too many requests"
+    r"|internal server error|your session has (?:expired|timed out)|something went wrong|we could not load this (?:notice|page)|an (?:unexpected )?error (?:has )?occurred|unauthori[sz]ed|not authori[sz]ed"
+    r"|seite nicht gefunden|zugriff verweigert|interner serverfehler|dienst nicht verfügbar|ihre sitzung ist abgelaufen|es ist ein fehler aufgetreten|zu viele anfragen"
+    r"|page introuvable|accès refusé|erreur interne du serveur|service indisponible|votre session a expiré|une erreur est survenue|trop de requêtes"
+    r"|página no encontrada|acceso denegado|error interno del servidor|servicio no disponible|su sesión ha caducado|se ha producido un error|demasiadas solicitudes"
+)
+ERROR = [
+    r"(?:^|[\s>:|])(?i:(?:error |http )?[45]\d\d\b[:\s-]*(?:" + _TITLE + r"))(?![\w\"»])",
+    r"(?:^\W*|[a-z>] )(?:(?i:" + _TITLE + r"))(?=\s*(?:$|[.!<(|])|\s+[A-ZÀ-Ü0-9])",
+    r"(?i:^\W*(?:" + _TITLE + r")\W*$)",
+    r"(?i:\bplease try again (?:later|in a (?:few|moment)|in a few minutes)|\bsign in again to continue|\blog in again\b|\byou do not have permission to (?:view|access)|\bserver could not complete your request)",
+    r"(?i:\bupstream host took too long|\bscheduled maintenance is in progress|\bwe have been told about the problem|\bgo back to the home ?page|\baddress may be mistyped|^\W*contact support\W*$)",
+    r"(?i:\bversuchen sie es später erneut|\bmelden sie sich (?:bitte )?erneut an|\bkeine berechtigung für diesen inhalt|\bangeforderte seite existiert nicht|^\W*zur startseite\W*$)",
+    r"(?i:\bveuillez réessayer|\bmerci de vous reconnecter|\bla page demandée n['’]existe|\bn['’]avez pas (?:les droits|la permission|l['’]autorisation)|^\W*retour à l['’]accueil\W*$)",
+    r"(?i:\bvuelva a iniciar sesión|\bno tiene permiso para ver|\bla página solicitada ya no existe|\bint[ée]ntelo de nuevo|^\W*volver al inicio\W*$)",
+    r"\{\s*\"(?:status|error|code|message)\"\s*:",
+    r"^\s*at [\w.$]+\([\w$.]+:\d+\)|(?:^|\s)(?:[a-z]\w*\.)+[A-Z]\w*(?:Error|Exception)\b|\bTraceback \(most recent call last\)|^\s*File \"[^\"\n]+\", line \d+",
+    r"(?i:\b(?:request|incident|trace|correlation) ?(?:id)?: ?[0-9a-f]{8,})",
+]
+
+#: Names of such things without being one: evidence only if nothing else is left.
+WEAK = [r"(?i:\b(?:java ?script|cookies|error [45]\d\d|lorem ipsum|placeholder|captcha|reload|retry|loading|réessayer|reintentar|erneut versuchen)\b)"]
+
+#: Words by which an author reports on or explains such things.
+REPORT = [
+    r"(?i:\b(?:asked|wanted to know|reported|answered|returned|switched to|fell to|rose to|clients saw|was denied to|had (?:left|expired|been)|sent it back|never published|was tested|we replaced|we asked)\b)",
+    r"(?i:\b(?:the template marks|form's field|field takes|in its title|data dictionary|undefined (?:case|behaviou?r|term)|cannot occur|not computable|not reported|means (?:that|not|the)|stands for|is written as|notation)\b)",
+    r"(?i:\b(?:fragte|meldete|antwortete|wurde vor der|ersetzt\.?$|bedeutet|steht für|lag bereits vor)\b)",
+    r"(?i:\b(?:a demandé|a renvoyé|a répondu|a été (?:remplacé|utilisé)|signifie|désigne)\b)",
+    r"(?i:\b(?:preguntó|devolvió|respondió|se (?:sustituyó|usó)|significa)\b)",
+]
+
+REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
+
+
+#: Reasons and their bits in a line's flags; ``weak`` is a hint only.
+REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
+BITS = {r: 1 << i for i, r in enumerate([*REASONS, "weak"])}
+
+#: A line can hold evidence only if one of these occurs in it: as written, or in lower case.
+CUES = [*"{[<@_«‹~&#", "%%", *[f"%{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ."], "MERGEFIELD", "NaN", "NaT", " nan", " nil", "NULL", "None", "XX", "TODO", "FIXME", "X,X", "0000-00", "Error", "Exception"]
+CUES_LOWER = [
+    "undefined", "null", "invalid date", *[w for w in LATIN if len(w) > 4], "asdf", "qwer", "dummy", "placeholder", "sample", "filler", "example text", "example copy", "example content", "insert ",
+    "headline", "summary", "draft shell", "goes here", "notice text", "blindtext", "mustertext", "beispieltext", "platzhalter", "faux texte", "texte d", "texto de", "script", "cookie", "loading",
+    "error 0", "error occurred", "error:", "fehler", "erreur", "error interno", "un error", "page not", "page you", "could not load", "forbidden", "access denied", "gateway", "unavailable", "timed out",
+    "too many requests", "session has", "session expired", "went wrong", "unauthori", "not authori", "try again", "sign in", "log in", "have permission", "the server", "upstream", "maintenance",
+    "told about", "home page", "homepage", "mistyped", "contact support", "startseite", "seite nicht", "angeforderte", "zugriff", "dienst nicht", "sitzung", "anfragen", "erneut", "berechtigung", "serverfehler",
+    "accès refusé", "introuvable", "indisponible", "a expiré", "requêtes", "réessayer", "reconnecter", "n'existe", "n’existe", "n'avez", "n’avez", "l'accueil", "l’accueil", "página", "acceso denegado",
+    "servicio no", "sesión", "solicitudes", "permiso para", "al inicio", "inténtelo", "intentelo", "reintentar", "traceback", "request id", "request:", "incident:", "incident id", "trace:", "correlation",
+    'file "', "captcha", "reload", "retry", "skript",
+]
+
+
+@cache
+def _tools():
+    def automaton(words: list[str]):
+        a = ahocorasick.Automaton()
+        for w in words:
+            a.add_word(w, len(w))
+        a.make_automaton()
+        return a
+
+    union = lambda ps: re.compile("|".join(f"(?:{p})" for p in ps if "\\1" not in p))
+    alone = {r: [re.compile(p) for p in ps if "\\1" in p] for r, ps in REASONS.items()}
+    return automaton(CUES), automaton(CUES_LOWER), {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT)
+
+
+_NOSCRIPT = re.compile(r"(?i)<noscript[^<>]{0,100}>")
+_TAG = re.compile(TAGS)
+_CUT = re.compile(r"(?<=[.!?])\s+(?=\S)|[\r\n]+")
+_DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"\s+")
+
+
+def lines_of(text: str) -> list[str]:
+    """The lines of a text: cut at line ends, sentence ends and page tags; blank ones left out."""
+    if "<" in text:
+        text = _TAG.sub("\n", _NOSCRIPT.sub("\n<noscript ", text))
+    return [s for s in _CUT.split(text) if s and not s.isspace()]
+
+
+def normalised(line: str) -> str:
+    """A line without case, numbers and spacing."""
+    return _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+
+
+def _repeats(line: str) -> bool:
+    words = line.split()
+    return len(words) > 5 and 3 * len({w.strip(".,").lower() for w in words}) <= len(words)
+
+
+def flags_of(line: str, low: str) -> int:
+    """The evidence bits of one line, 0 for none or for a report on such things."""
+    as_written, lower, unions, alone, weak, report = _tools()
+    repeats = _repeats(line)
+    if not repeats and next(as_written.iter(line), None) is None and next(lower.iter(low), None) is None and not line.lstrip().startswith("at "):
+        return 0
+    bits = 0
+    for r, u in unions.items():
+        if u.search(line) or (repeats and any(p.search(line) for p in alone[r])):
+            bits |= BITS[r]
+    if not bits and len(line) <= 200 and weak.search(line):
+        bits = BITS["weak"]
+    return 0 if bits and report.search(line) else bits
+
+
+def text_lines(texts: pa.Array) -> pa.Array:
+    """Per text its lines as structs (x: 64-bit hash of the normalised line, r: flags, n: 1 for the first such line of the text, else 0)."""
+    offsets, xs, rs, ns = [0], [], [], []
+    for text in texts.to_pylist():
+        seen: set[int] = set()
+        for line in lines_of(text or ""):
+            low = normalised(line)
+            x = xxhash.xxh64_intdigest(low)
+            xs.append(x)
+            rs.append(flags_of(line, low))
+            ns.append(int(x not in seen))
+            seen.add(x)
+        offsets.append(len(xs))
+    items = pa.StructArray.from_arrays([pa.array(np.array(xs, np.uint64).view(np.int64)), pa.array(rs, pa.int32()), pa.array(ns, pa.int32())], names=["x", "r", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+
+def host_of(source: Column) -> Column:
+    """A source's one spelling: lower case, trimmed, with underscores; null is a host of its own."""
+    return F.coalesce(F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_"), F.lit(""))
+
+
+def residue(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = 20, share: float = 0.005) -> DataFrame:
+    """One row per document that has text: ``key``, ``host``, ``n_lines``, ``n_boilerplate``, one count per reason, ``weak``, ``is_residue``.
+
+    A line is boilerplate if it occurs in at least ``min_documents`` documents of its host and in
+    the given share of them, and is no evidence itself. Every whole text is read once, in Arrow
+    batches; from then on only line hashes and flags move. Line counts cover all documents and
+    are combined map-side, so a common line costs one partial row per task. There are at most
+    (lines per document) / ``share`` boilerplate lines per host whatever the number of documents;
+    that bound is why their table is broadcast.
+
+    Defined cases: null and blank texts give no row; copies under other keys each give theirs;
+    rows of one key are taken together; a null host is a host; extra columns are ignored.
+    """
+    d = docs.select(F.col(key).alias("k"), host_of(F.col(host)).alias("h"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
+    lines = cut(d.select("k", "h", F.explode(F.arrow_udf(text_lines, "array<struct<x:bigint,r:int,n:int>>")("text")).alias("s")).select("k", "h", "s.x", "s.r", "s.n"))
+    strong = F.col("r").bitwiseAND(BITS["weak"] - 1) != 0
+    n_host = d.groupBy("h").agg(F.count(F.lit(1)).alias("of"))
+    counts = lines.where(~strong).groupBy("h", "x").agg(F.sum("n").alias("c")).where(F.col("c") >= min_documents)
+    boiler = counts.join(n_host, "h").where(F.col("c") >= share * F.col("of")).select("h", "x", F.lit(True).alias("boiler"))
+    per = lines.join(F.broadcast(boiler), ["h", "x"], "left").groupBy("k").agg(
+        F.min("h").alias("host"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(F.col("boiler") & ~strong).alias("n_boilerplate"),
+        *[F.count_if(F.col("r").bitwiseAND(BITS[r]) != 0).alias(r) for r in REASONS],
+        F.count_if((F.col("r") == BITS["weak"]) & F.col("boiler").isNull()).alias("weak"),
+    )
+    evidence = F.greatest(*[F.col(r) for r in REASONS]) > 0
+    only_weak = (F.col("weak") > 0) & (F.col("weak") + F.col("n_boilerplate") == F.col("n_lines"))
+    return per.withColumnRenamed("k", key).withColumn("is_residue", evidence | only_weak)
