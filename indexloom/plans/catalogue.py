@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, relational, statistics
 
-MODULES = [problems]
+MODULES = [problems, relational, statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
