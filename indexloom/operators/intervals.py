@@ -89,6 +89,6 @@ def spans(cover: DataFrame, entity: Sequence[str]) -> DataFrame:
     """Rows of :func:`coverage` as spans: kind ``period`` or ``gap``, from, to (null when open), ``multiple``."""
     p = F.transform("periods", lambda x: F.struct(F.lit("period").alias("kind"), x["f"].alias("f"), x["e"].alias("e"), x["m"].alias("m")))
     g = F.transform(gaps(F.col("periods")), lambda x: F.struct(F.lit("gap").alias("kind"), x["f"].alias("f"), x["e"].alias("e"), F.lit(False).alias("m")))
-    s = cover.select(*entity, F.explode(F.concat(p, g)).alias("s"))
-    to = F.when(F.col("s.e") < OPEN, F.date_from_unix_date("s.e"))
-    return s.select(*entity, F.col("s.kind").alias("span_kind"), F.date_from_unix_date("s.f").alias("span_from"), to.alias("span_to"), F.col("s.m").alias("multiple"))
+    s = cover.select(*entity, F.explode(F.concat(p, g)).alias("__s"))
+    to = F.when(F.col("__s.e") < OPEN, F.date_from_unix_date("__s.e"))
+    return s.select(*entity, F.col("__s.kind").alias("span_kind"), F.date_from_unix_date("__s.f").alias("span_from"), to.alias("span_to"), F.col("__s.m").alias("multiple"))
