@@ -29,7 +29,7 @@ def unit(key: Column, seed: int) -> Column:
 
 
 def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """One row per target: ``source``, ``target_share``, ``max_repeats``, ``available``, ``budget``, ``epochs``, ``rest``.
+    """One row per target: ``source``, ``target_share``, ``max_repeats``, ``available``, ``budget``, ``wanted``, ``epochs``, ``rest``.
 
     Without ``total_tokens`` the total is the largest at which every source that has tokens reaches
     its share within its repeats, so that shares are met exactly. With it, a source gives at most
@@ -42,9 +42,9 @@ def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     b = t.join(have, "h", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     most = F.when((F.col("available") > 0) & (F.col("share") > 0) & (F.col("repeats") > 0), F.col("repeats") * F.col("available") / F.col("share"))
     total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(most).over(Window.partitionBy(F.lit(0))), F.lit(0.0))
-    b = b.withColumn("budget", F.least(F.floor(F.col("share") * total + 1e-6), F.col("repeats") * F.col("available")).cast("long"))
+    b = b.withColumn("wanted", F.floor(F.col("share") * total + 1e-6)).withColumn("budget", F.least("wanted", F.col("repeats") * F.col("available")).cast("long"))
     epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")
-    return b.select("h", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), "available", "budget", epochs.alias("epochs")).withColumn(
+    return b.select("h", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), "available", "budget", "wanted", epochs.alias("epochs")).withColumn(
         "rest", F.col("budget") - F.col("epochs") * F.col("available")
     )
 
@@ -85,6 +85,6 @@ def mix(
     all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     report = r.select(
         F.col("h").alias(source), "target_share", F.coalesce(F.try_divide("tokens", all_tokens), F.lit(0.0)).alias("reached_share"), "tokens", "budget", "available", "documents", "max_repeats", "most_uses",
-        ((F.col("target_share") > 0) & (F.col("available") * F.col("max_repeats") < F.greatest(F.col("budget"), F.lit(1)))).alias("short"),
+        ((F.col("target_share") > 0) & ((F.col("available") * F.col("max_repeats") == 0) | (F.col("wanted") > F.col("budget")))).alias("short"),
     )
     return drawn, report

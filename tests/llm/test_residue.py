@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import pytest
+
+from indexloom.llm.residue import BITS, flags_of, lines_of, normalised, residue
+
+S = "doc_id long, text string, source string, k int, h string, x int"
+
+
+def bits(line):
+    return flags_of(line, normalised(line))
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Dear {{ client.name | upper }},", "Rule book, ${month} edition", "From [ISSUER NAME] to [[float_pct]]", "a %%CCY%% b", "pays __amount__ per share", "on ______ the board", "am <w:fld DATE/> verlor",
+     "of &lt;issuer_name&gt; was", "<TBC: date>", "the level of «indexTitle»", "losing {0} today", "at a price of [●] on", "[please add company name]", "[hier Betrag einfügen]", "loss of %.2f per %s", "zero on #REF! and", "of [object Object] is",
+     "receive undefined new shares", "with ex-date NaN.", "review None companies join", "on XX/XX/20XX and", "TODO write notice text", "<!-- BODY -->", "at @@time@@ today", "<?= header ?>"],
+)
+def test_placeholders_in_any_notation(line):
+    assert bits(line) & BITS["placeholder"]
+
+
+@pytest.mark.parametrize(
+    "line, reason",
+    [("Dolor sit amet consectetur adipiscing elit", "filler"), ("bla bla bla bla bla bla bla", "filler"), ("Sample text, to be replaced before release.", "filler"), ("Ceci est un faux texte pour la mise en page.", "filler"),
+     ("Please enable JavaScript to view this announcement.", "script"), ("Los scripts están desactivados en su navegador.", "script"), ("Diese Seite benötigt JavaScript und Cookies.", "script"), ("<noscript Turn on JavaScript and reload.", "script"),
+     ("404 Page not found", "error"), ("Access denied Please try again in a few minutes.", "error"), ("ACCESS DENIED", "error"), ("Votre session a expiré", "error"), ('{"status": 503, "error": "Service unavailable"}', "error"),
+     ("    at notices.load(Feed:754)", "error"), ("sql.DataAccessError: payload missing", "error"), ("Menu Search Login 503 Service unavailable", "error"), ("Error 500: Se ha producido un error", "error")],
+)
+def test_messages(line, reason):
+    assert bits(line) & BITS[reason]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["A client asked whether the capacity page needs JavaScript; the file download does not.", "The template marks open fields with %%NAME%% so that reviewers find them; all 12 were filled.", "In the data dictionary, null means not reported and NaN means not computable.",
+     "We replaced the marker [●] in the term sheet by the final price of USD 2.14 before release.", "The undefined case, a divisor of zero, cannot occur while one member has a price.", "Too many requests for the same file came from one client, and we asked them to cache it.",
+     'For 12 minutes clients saw "service unavailable" on the factsheet page.', "The layout team had left lorem ipsum in the Spring factsheet mock-up, which was never published.", "Der Blindtext im Entwurf wurde vor der Veröffentlichung am 3. Mai 2024 ersetzt.",
+     "Members of the set {A, B, C} in the example have weights w(1) to w(3).", "Section [36.2] applies.", "Tracking error to the parent index was 1.0% over 33 months.", "El término «divisor» se define en el capítulo 24.", "Shares of Lamo Ltd (FTNN) were suspended", "Net income  n/a  n.m.  5.8", ""],
+)
+def test_authored_text_is_no_evidence(line):
+    assert not bits(line) & (BITS["weak"] - 1)
+
+
+def test_lines():
+    assert lines_of("One. Two!\nThree <b>x</b></p>Four\n\n  \n") == ["One.", "Two!", "Three <b>x</b>", "Four"]
+    assert normalised("  Rank 12,  ON 3.5%") == "rank 0, on 0.0%"
+
+
+def run(spark, rows, **kw):
+    return {r["doc_id"]: r for r in residue(spark.createDataFrame([(*r, 1, "h", 2) for r in rows], S), **kw).collect()}
+
+
+def test_documents_copies_blank_null_and_long(spark):
+    page = "Home | Notices\n404 Page not found\nGo back to the home page"
+    long = "The index gained 1.0% on the day. " * 3000 + "Fees of {{ amount }} apply."
+    rows = [(1, page, "Press_Wire"), (2, page, None), (3, "All is well.", "press-wire"), (4, None, "x"), (5, "  \n ", "x"), (6, long, "x"), (7, "", None), (3, "All is well.", "press-wire")]
+    got = run(spark, rows)
+    assert sorted(got) == [1, 2, 3, 6]
+    assert {k for k, r in got.items() if r["is_residue"]} == {1, 2, 6}
+    assert got[6]["n_lines"] == 3001 and got[6]["placeholder"] == 1 and got[1]["host"] == "press_wire" == got[3]["host"]
+
+
+def test_recurrent_boilerplate_is_subtracted_per_host(spark):
+    foot = "Cookies | Imprint"
+    rows = [(i, f"Notice {i} on volume number {i} of company{chr(97 + i % 26)}{chr(97 + i // 26)}.\n{foot}", "wire") for i in range(40)] + [(100, foot, "wire"), (101, "Loading\nReload", "wire"), (102, foot, "other")]
+    got = run(spark, rows, min_documents=20, share=0.1)
+    assert got[0]["n_boilerplate"] == 1 and not got[0]["is_residue"]
+    assert not got[100]["is_residue"] and got[101]["is_residue"] and got[102]["is_residue"]
+
+
+def test_empty_table(spark):
+    assert run(spark, []) == {}
