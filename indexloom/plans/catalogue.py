@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, problems, relational, statistics
+from . import entities, portfolio, problems, relational, statistics
 
-MODULES = [problems, relational, statistics, entities]
+MODULES = [problems, relational, statistics, entities, portfolio]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
