@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without nulls in the columns, as plain conditions that the optimizer does not have to infer again."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def as_known(
     events: DataFrame,
     versions: DataFrame,
@@ -50,7 +57,7 @@ def as_known(
     k = [f"k{i}" for i in range(len(keys))]
 
     ev = events.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(entity)], F.col(event_time).alias("t"))
-    ev = ev.dropna().distinct()
+    ev = _present(ev, [*[f"k{i}" for i in range(len(entity))], "t"]).distinct()
     for i, v in enumerate(variants.values(), start=len(entity)):
         ev = ev.withColumn(f"k{i}", F.explode(F.array(*[F.lit(x) for x in v])))
     ve = versions.select(
@@ -58,7 +65,8 @@ def as_known(
         F.struct(*[F.col(c) for c in order]).alias("v"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("t")) for i, c in enumerate(clocks.values())])).alias("c"),
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
-    ).dropna(subset=[*k, *[f"o{i}" for i in range(len(order))]])
+    )
+    ve = _present(ve, [*k, *[f"o{i}" for i in range(len(order))]])
     for i, v in enumerate(variants.values(), start=len(entity)):
         ve = ve.where(F.col(f"k{i}").isin(*v))
     vs = [F.when(F.col("c.i") == i, F.col("v")).alias(f"v{i}") for i in range(len(names))]
@@ -66,18 +74,22 @@ def as_known(
     ev = ev.select(*k, "t", F.lit(True).alias("asked"), *[F.lit(None).cast(ve.schema[f"v{i}"].dataType).alias(f"v{i}") for i in range(len(names))])
     line = ve.unionByName(ev).groupBy(*k, "t").agg(F.max("asked").alias("asked"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
 
-    hot = line.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*k, F.lit(True).alias("hot"))
+    # hot and carry read the same columns as the main branch, so that all three share one exchange
+    said = F.col("asked")
+    for i in range(len(names)):
+        said = said | F.col(f"v{i}").isNotNull()
+    hot = line.groupBy(*k).agg(F.count_if(said).alias("n")).where(F.col("n") > hot_rows).select(*k, F.lit(True).alias("hot"))
     shard = F.when(F.col("hot"), F.floor(F.datediff(F.col("t"), F.lit("1970-01-01")) / shard_days)).otherwise(0).cast("int")
     cut = line.join(hot, k, "left").withColumn("shard", shard).withColumn("carried", F.lit(0))
     before = Window.partitionBy(*k).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         cut.where("hot")
         .groupBy(*k, "shard")
-        .agg(F.min("t").alias("t"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
-        .select(*k, "t", F.lit(False).alias("asked"), *[F.max(f"v{i}").over(before).alias(f"v{i}") for i in range(len(names))], F.lit(True).alias("hot"), "shard", F.lit(1).alias("carried"))
+        .agg(F.min("t").alias("t"), F.max("asked").alias("asked"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
+        .select(*k, "t", "asked", *[F.max(f"v{i}").over(before).alias(f"v{i}") for i in range(len(names))], F.lit(True).alias("hot"), "shard", F.lit(1).alias("carried"))
     )
     local = Window.partitionBy(*k, "shard").orderBy(F.desc("carried"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = cut.unionByName(carry).select(*k, "t", "asked", *[F.max(f"v{i}").over(local).alias(f"v{i}") for i in range(len(names))])
-    return merged.where("asked").select(
+    merged = cut.unionByName(carry).select(*k, "t", "asked", "carried", *[F.max(f"v{i}").over(local).alias(f"v{i}") for i in range(len(names))])
+    return merged.where("asked AND carried = 0").select(
         *[F.col(n).alias(c) for c, n in zip(keys, k, strict=True)], F.col("t").alias(event_time), *[F.col(f"v{i}").alias(n) for i, n in enumerate(names)]
     )
