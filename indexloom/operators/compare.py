@@ -47,11 +47,10 @@ def finding(df: DataFrame, rule: str, severity: str, bad: Column, key: Column) -
 
     The sample is a bounded aggregate (five least keys), not a collected list.
     """
-    least = F.slice(F.array_sort(F.collect_set(F.when(F.col("__r") <= 5, F.col("__k")))), 1, 5)
     x = df.select(F.coalesce(bad, F.lit(False)).alias("__b"), key.cast("string").alias("__k"))
-    top = x.where("__b").select("__k").distinct().orderBy("__k").limit(5).withColumn("__r", F.lit(1)).agg(least.alias("sample"))
+    sample = x.where("__b").select("__k").distinct().orderBy("__k").limit(5).agg(F.array_join(F.array_sort(F.collect_list("__k")), ",").alias("s")).scalar()
     n = x.agg(F.count_if("__b").alias("n_bad"), F.count(F.lit(1)).alias("n_rows"))
-    return n.join(F.broadcast(top)).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col("n_bad") == 0).alias("passed"), "n_bad", "n_rows", F.array_join("sample", ",").alias("sample"))
+    return n.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col("n_bad") == 0).alias("passed"), "n_bad", "n_rows", sample.alias("sample"))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -149,3 +149,40 @@ def cumulative_bands(df: DataFrame, group: Sequence[str], size: str, tie: str, c
         band = F.when(F.col("cumulative") <= cut, name) if band is None else band.when(F.col("cumulative") <= cut, name)
     none = df.where(~F.coalesce(F.col(size) > 0, F.lit(False))).withColumn("cumulative", F.lit(None).cast("double"))
     return x.unionByName(none).withColumn("band", band.otherwise(rest))
+
+
+def ceiling_weights(df: DataFrame, group: Sequence[str], weight: str, ceiling: str, tie: str) -> DataFrame:
+    """``df`` with ``limited`` and ``feasible``: weights scaled up in proportion until they meet their own ceilings.
+
+    The fixed point of "freeze what exceeds its ceiling, spread the rest" in closed form: every name
+    gets min(ceiling, s * weight), and names freeze in the order of ceiling / weight, so the frozen
+    ones are a prefix. Infeasible groups (ceilings below 1 in sum) give every name its ceiling.
+    """
+    w = Window.partitionBy(*group)
+    x = df.withColumn("__w", F.col(weight) / F.sum(weight).over(w)).withColumn("__r", F.try_divide(F.col(ceiling), F.nullif(F.col("__w"), F.lit(0.0))))
+    order = w.orderBy(F.col("__r").asc_nulls_last(), tie)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__c", F.coalesce(F.sum(ceiling).over(past), F.lit(0.0))).withColumn("__f", F.coalesce(F.sum("__w").over(past), F.lit(0.0)))
+    scale = F.try_divide(1 - F.col("__c"), F.nullif(1 - F.col("__f"), F.lit(0.0)))
+    x = x.withColumn("__s", F.when((scale <= F.col("__r") * (1 + 1e-12)) | F.col("__r").isNull(), scale)).withColumn("__i", F.row_number().over(order))
+    first = F.min(F.when(F.col("__s").isNotNull(), F.struct("__i", "__s"))).over(w)
+    ok = F.sum(ceiling).over(w) >= 1 - 1e-12
+    limited = F.when(ok & first.isNotNull(), F.least(F.col(ceiling), first["__s"] * F.col("__w"))).otherwise(F.col(ceiling))
+    return x.withColumn("feasible", ok).withColumn("limited", limited).drop("__w", "__r", "__c", "__f", "__s", "__i")
+
+
+def cap_groups(df: DataFrame, by: Sequence[str], category: str, weight: str, cap: float) -> DataFrame:
+    """``df`` with ``group_capped``: no category above ``cap`` within ``by``, names keeping their proportions inside it.
+
+    The single-name cap applied to category totals, one row per category.
+    """
+    totals = df.groupBy(*by, category).agg(F.sum(weight).alias("__g"))
+    capped = cap_weights(totals, by, "__g", cap, category).select(*by, category, "__g", F.col("capped").alias("__c"), "feasible")
+    return df.join(capped, [*by, category]).withColumn("group_capped", F.try_divide(F.col(weight) * F.col("__c"), F.nullif(F.col("__g"), F.lit(0.0)))).drop("__g", "__c")
+
+
+def top_fraction(df: DataFrame, group: Sequence[str], score: str, tie: str, fraction: float) -> DataFrame:
+    """The best ``fraction`` of each group by score: max(1, n times fraction rounded half to even) rows."""
+    w = Window.partitionBy(*group)
+    k = F.greatest(F.lit(1.0), F.bround(F.count(F.lit(1)).over(w) * F.lit(fraction), 0))
+    return df.withColumn("__k", k).withColumn("__i", F.row_number().over(w.orderBy(F.desc(score), tie))).where(F.col("__i") <= F.col("__k")).drop("__k", "__i")
