@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, extras, portfolio, problems, relational, statistics
+from . import entities, extras, models, portfolio, problems, relational, statistics
 
-MODULES = [problems, relational, statistics, entities, portfolio, extras]
+MODULES = [problems, relational, statistics, entities, portfolio, extras, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
