@@ -35,6 +35,9 @@ _NAME = r"[A-Za-z][A-Za-z0-9_.]{0,40}(?: [A-Za-z][A-Za-z0-9_.]{0,40}){0,3}(?: ?\
 # Field names that betray a placeholder even in quotation marks.
 _FIELD = r"(?:[A-Za-z]+_[A-Za-z_]+|[a-z]+[A-Z][A-Za-z]+|[A-Z]{3,}|(?:Company|Index) ?Name|Index|issuer|symbol|ticker|date|time|month|amount|count|ratio|pct|percentage|ccy|currency|shares|country|market|sector|industry|ref)"
 
+# Where a line's message may begin: at its start, or behind a reference, a dateline or a label.
+_START = r"(?:^\W*|[-–)\]:>|.] ?)"
+
 PLACEHOLDER = [
     r"\{\{[^{}\n]{0,80}\}\}",
     r"\{%[^%\n]{0,80}%\}",
@@ -62,9 +65,10 @@ PLACEHOLDER = [
     r"\{\d{1,2}\}",
     r"\[\s*[●•]\s*\]",
     r"\[" + _FIELD + r"(?: ?[A-Z]+){0,3}\]",
-    r"\[(?:TBC|TBD|TBA|XX+|xx+)\]",
+    r"\[[A-Z]{2,}(?:[ _][A-Z]{2,}){0,3}\]",
+    r"\[(?:TBC|TBD|TBA|xx+)\]",
     r"(?i:[\[(](?:please )?(?:insert|add|enter|fill in|your)\b[^\[\]()\n]{1,60}[\])])",
-    r"(?i:[\[(][^\[\]()\n]{0,60}\b(?:einfügen|eintragen|insérer|à compléter|insertar|completar)\b[^\[\]()\n]{0,40}[\])])",
+    r"(?i:[\[(][^\[\]()\n]{0,60}\b(?:einfügen|eintragen|einzufügen|einzutragen|auszufüllen|zu ergänzen|insérer|à compléter|à remplir|à préciser|insertar|completar|rellenar|to be (?:completed|filled in|added|confirmed|supplied))\b[^\[\]()\n]{0,40}[\])])",
     r"(?<![\w%])%(?:[sd]|\.\d+f)(?!\w)",
     r"#(?:REF|VALUE|DIV/0|NUM|NULL)!|#NAME\?|#N/A",
     r"\[object [A-Z]\w*\]",
@@ -73,7 +77,7 @@ PLACEHOLDER = [
     r"\(null\)",
     r"(?<=[\w)\],] )None(?! of\b)(?![\w'])|\(None\)",
     r"\bXX[/.-]XX\b|\bXX+,XXX\b|\bX,XXX\b|\b20XX\b|(?<![\w])XX(?: ?%|\.XX)|\bXXXX+\b",
-    r"^\W*(?:TODO|FIXME)\b",
+    _START + r"(?:TODO|FIXME)\b",
     r"\bInvalid [Dd]ate\b|\b0000-00-00\b",
 ]
 
@@ -83,18 +87,26 @@ LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod temp
 FILLER = [
     r"(?i:(?:\b(?:" + "|".join(LATIN) + r")\b[\s,.]*){4})",
     r"(?i:\b([a-z]{1,12})(?:[\s,.]+\1\b){5})",
+    r"(?i:\b([a-z]{1,12}[\s,]+[a-z]{1,12})(?:[\s,.]+\1\b){3})",
     r"(?i:\b(?:asdf|qwer|qwertz?y?)(?:\s+(?:asdf|qwer|qwertz?y?|jkl))+)",
-    r"(?i:^\W*lorem ipsum)",
+    r"(?i:" + _START + r"lorem ipsum)",
     r"(?i:\bdummy (?:notice|text|copy|content) for\b)",
     r"(?i:\bthis is (?:a )?(?:placeholder|dummy|sample|filler)\b)",
     r"(?i:\bplaceholder (?:copy|text) for\b)",
-    r"(?i:^\W*(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)\b(?:,| to be replaced| goes here|\.|$))",
-    r"(?i:^\W*(?:insert|write|add) (?:a |the )?(?:summary|headline|title|notice text|text|body|lead|content)\b)",
-    r"(?i:^\W*draft shell\b)",
+    r"(?i:" + _START + r"(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)\b(?:,| to be replaced| goes here|\.|$))",
+    r"(?i:" + _START + r"(?:insert|write|add) (?:a |the )?(?:summary|headline|title|notice text|text|body|lead|content)\b)",
+    r"(?i:" + _START + r"draft shell\b)",
     r"(?i:\b(?:headline|text|copy|title|content) goes here\b)",
-    r"(?i:\bblindtext für\b|\bhier steht (?:ein )?(?:beispiel|blind|muster)text|^\W*(?:beispiel|blind|muster|platzhalter)text\b)",
-    r"(?i:\bceci est un (?:faux )?texte\b|^\W*texte d['’]exemple|\btexte de remplissage\b|^\W*faux texte\b)",
-    r"(?i:\beste es un texto de relleno|^\W*texto de (?:ejemplo|relleno|prueba))",
+    r"(?i:" + _START + r"(?:(?:this|the) (?:section|page|tab) is )?(?:coming soon|under construction)\W*$)",
+    r"(?i:\b(?:content|text|copy) for this (?:tab|page|section|box|field) has not been (?:added|written|entered)|\bno (?:text|content|copy) (?:entered|added|available yet)\b|\bclick (?:here )?to (?:edit|add|enter)\b)",
+    r"(?i:\byour (?:headline|title|text|copy|content|message|logo) (?:goes )?here\b|" + _START + r"(?:enter|type|write) (?:your )?(?:headline|title|text) here)",
+    r"(?i:" + _START + r"(?:überschrift|titel|text|inhalt) (?:hier )?(?:eingeben|einfügen)\b|" + _START + r"(?:demnächst(?: verfügbar)?|in kürze(?: verfügbar)?|(?:diese )?seite (?:ist )?im aufbau)\W*$)",
+    r"(?i:\bvotre (?:titre|texte|contenu) ici\b|\b(?:saisissez|écrivez|entrez) (?:ici )?(?:votre|le) (?:titre|texte)|" + _START + r"(?:bientôt disponible|(?:cette page est )?en construction)\W*$)",
+    r"(?i:\b(?:escriba|introduzca|escribe) (?:aquí )?(?:el|su|tu) (?:titular|título|texto)|\bsu (?:titular|título|texto) aquí\b|" + _START + r"(?:próximamente|(?:esta página está )?en construcción)\W*$)",
+    r"(?i:\bintentionally (?:holds|contains|shows) (?:sample|dummy|placeholder|filler)\b)",
+    r"(?i:\bblindtext für\b|\bhier steht (?:ein )?(?:beispiel|blind|muster)text|" + _START + r"(?:beispiel|blind|muster|platzhalter)text\b)",
+    r"(?i:\bceci est un (?:faux )?texte\b|" + _START + r"texte d['’]exemple|\btexte de remplissage\b|" + _START + r"faux texte\b)",
+    r"(?i:\beste es un texto de relleno|" + _START + r"texto de (?:ejemplo|relleno|prueba))",
 ]
 
 SCRIPT = [
@@ -104,7 +116,7 @@ SCRIPT = [
     r"(?i:\bworks best with (?:java ?)?script)",
     r"(?i:\bbrowser (?:does not|doesn't) (?:support|allow|run) (?:java ?)?script)",
     r"(?i:\b(?:java ?scripts?|scripts?|scripting|cookies) (?:is|are|may be|might be|seems?|appears?|must be)\b[^.\n]{0,30}\b(?:blocked|disabled|off|enabled|on)\b)",
-    r"(?i:^\W*loading ?(?:\.\.\.|…))",
+    r"(?i:" + _START + r"loading ?(?:\.\.\.|…))",
     r"(?i:\b(?:aktivieren|erlauben) sie\b(?:\s\w+){0,3}\s(?:java ?script|skripte?|cookies))",
     r"(?i:\bbenötigt (?:java ?script|cookies)|\b(?:skripte|java ?script|cookies)\b[^.\n]{0,30}\b(?:ausgeschaltet|deaktiviert|blockiert|gesperrt))",
     r"(?i:\b(?:veuillez|merci d['’]) ?activer\b(?:\s\w+){0,3}\s(?:java ?script|les scripts|les cookies))",
@@ -137,27 +149,30 @@ ERROR = [
 #: Names of such things without being one: evidence only if nothing else is left.
 WEAK = [r"(?i:\b(?:java ?script|cookies|error [45]\d\d|lorem ipsum|placeholder|captcha|reload|retry|loading|réessayer|reintentar|erneut versuchen)\b)"]
 
-#: Words by which an author reports on or explains such things.
+#: Words by which an author explains a placeholder or a missing value.
+EXPLAIN = [
+    r"(?i:\b(?:the template marks|form's field|open fields|field takes|still showed|in its title|sent it back|we replaced|the marker|data dictionary|undefined (?:case|behaviou?r|term)|cannot occur|not computable|means (?:that|not|the)|stands for|is written as|notation)\b)",
+    r"(?i:\b(?:bedeutet|steht für|signifie|désigne|significa)\b)",
+]
+#: Words by which an author reports on a message, a notice about scripts, or filler copy.
 REPORT = [
-    r"(?i:\b(?:asked|wanted to know|reported|answered|returned|switched to|fell to|rose to|clients saw|was denied to|had (?:left|expired|been)|sent it back|never published|was tested|we replaced|we asked)\b)",
-    r"(?i:\b(?:the template marks|form's field|field takes|in its title|data dictionary|undefined (?:case|behaviou?r|term)|cannot occur|not computable|not reported|means (?:that|not|the)|stands for|is written as|notation)\b)",
-    r"(?i:\b(?:fragte|meldete|antwortete|wurde vor der|ersetzt\.?$|bedeutet|steht für|lag bereits vor)\b)",
-    r"(?i:\b(?:a demandé|a renvoyé|a répondu|a été (?:remplacé|utilisé)|signifie|désigne)\b)",
-    r"(?i:\b(?:preguntó|devolvió|respondió|se (?:sustituyó|usó)|significa)\b)",
+    *EXPLAIN,
+    r"(?i:\b(?:clients?|customers?|users?|we|they|who) (?:asked|wanted to know|reported|saw)\b|\basked (?:whether|if|us|them)\b|\b(?:answered with|returned an?|returns error|switched to|fell to|rose to|was denied to|had (?:left|expired|been)|never published|was tested|used the backup))",
+    r"(?i:\b(?:fragte|meldete|antwortete|wurde vor der|lag bereits vor)\b|\bersetzt\.?$)",
+    r"(?i:\b(?:a demandé|a renvoyé|a répondu|a été (?:remplacé|utilisé))\b)",
+    r"(?i:\b(?:preguntó|devolvió|respondió|se (?:sustituyó|usó))\b)",
 ]
 
-REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
-
-
 #: Reasons and their bits in a line's flags; ``weak`` is a hint only.
 REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
 BITS = {r: 1 << i for i, r in enumerate([*REASONS, "weak"])}
 
 #: A line can hold evidence only if one of these occurs in it: as written, or in lower case.
-CUES = [*"{[<@_«‹~&#", "%%", *[f"%{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ."], "MERGEFIELD", "NaN", "NaT", " nan", " nil", "NULL", "None", "XX", "TODO", "FIXME", "X,X", "0000-00", "Error", "Exception"]
+CUES = [*"{[<@_«‹~&#", "%%", *[f"%{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"], "MERGEFIELD", "NaN", "NaT", " nan", " nil", "NULL", "None", "XX", "TODO", "FIXME", "X,X", "0000-00", *[f"%.{i}" for i in range(10)], "Error", "Exception"]
 CUES_LOWER = [
     "undefined", "null", "invalid date", *[w for w in LATIN if len(w) > 4], "asdf", "qwer", "dummy", "placeholder", "sample", "filler", "example text", "example copy", "example content", "insert ",
-    "headline", "summary", "draft shell", "goes here", "notice text", "blindtext", "mustertext", "beispieltext", "platzhalter", "faux texte", "texte d", "texto de", "script", "cookie", "loading",
+    "headline", "summary", "draft shell", "intentionally", "coming soon", "construction", "construcción", "has not been", "entered", "no content", "no copy", "to edit", "to add", "to enter", " here", "eingeben", "demnächst", "in kürze", "im aufbau", " ici", "saisissez", "écrivez", "bientôt", "aquí", "escriba", "introduzca", "próximamente",
+    "compléter", "remplir", "préciser", "completar", "rellenar", "einfügen", "eintragen", "einzutragen", "einzufügen", "auszufüllen", "zu ergänzen", "insérer", "insertar", "(to be ", "[to be ", "(add ", "(enter ", "(your ", "(please ", "(fill ", "server error", "goes here", "notice text", "blindtext", "mustertext", "beispieltext", "platzhalter", "faux texte", "texte d", "texto de", "script", "cookie", "loading",
     "error 0", "error occurred", "error:", "fehler", "erreur", "error interno", "un error", "page not", "page you", "could not load", "forbidden", "access denied", "gateway", "unavailable", "timed out",
     "too many requests", "session has", "session expired", "went wrong", "unauthori", "not authori", "try again", "sign in", "log in", "have permission", "the server", "upstream", "maintenance",
     "told about", "home page", "homepage", "mistyped", "contact support", "startseite", "seite nicht", "angeforderte", "zugriff", "dienst nicht", "sitzung", "anfragen", "erneut", "berechtigung", "serverfehler",
@@ -178,7 +193,7 @@ def _tools():
 
     union = lambda ps: re.compile("|".join(f"(?:{p})" for p in ps if "\\1" not in p))
     alone = {r: [re.compile(p) for p in ps if "\\1" in p] for r, ps in REASONS.items()}
-    return automaton(CUES), automaton(CUES_LOWER), {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT)
+    return automaton(CUES), automaton(CUES_LOWER), {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT), union(EXPLAIN)
 
 
 _NOSCRIPT = re.compile(r"(?i)<noscript[^<>]{0,100}>")
@@ -206,7 +221,7 @@ def _repeats(line: str) -> bool:
 
 def flags_of(line: str, low: str) -> int:
     """The evidence bits of one line, 0 for none or for a report on such things."""
-    as_written, lower, unions, alone, weak, report = _tools()
+    as_written, lower, unions, alone, weak, report, explain = _tools()
     repeats = _repeats(line)
     if not repeats and next(as_written.iter(line), None) is None and next(lower.iter(low), None) is None and not line.lstrip().startswith("at "):
         return 0
@@ -216,7 +231,11 @@ def flags_of(line: str, low: str) -> int:
             bits |= BITS[r]
     if not bits and len(line) <= 200 and weak.search(line):
         bits = BITS["weak"]
-    return 0 if bits and report.search(line) else bits
+    if bits & BITS["placeholder"] and explain.search(line):
+        bits &= ~BITS["placeholder"]
+    if bits & ~BITS["placeholder"] and report.search(line):
+        bits &= BITS["placeholder"]
+    return bits
 
 
 def text_lines(texts: pa.Array) -> pa.Array:

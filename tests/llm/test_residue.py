@@ -15,7 +15,7 @@ def bits(line):
     "line",
     ["Dear {{ client.name | upper }},", "Rule book, ${month} edition", "From [ISSUER NAME] to [[float_pct]]", "a %%CCY%% b", "pays __amount__ per share", "on ______ the board", "am <w:fld DATE/> verlor",
      "of &lt;issuer_name&gt; was", "<TBC: date>", "the level of «indexTitle»", "losing {0} today", "at a price of [●] on", "[please add company name]", "[hier Betrag einfügen]", "loss of %.2f per %s", "zero on #REF! and", "of [object Object] is",
-     "receive undefined new shares", "with ex-date NaN.", "review None companies join", "on XX/XX/20XX and", "TODO write notice text", "<!-- BODY -->", "at @@time@@ today", "<?= header ?>"],
+     "receive undefined new shares", "with ex-date NaN.", "review None companies join", "on XX/XX/20XX and", "TODO write notice text", "<!-- BODY -->", "at @@time@@ today", "<?= header ?>", "The free float of [[companyName]] moves to 3% after a pension fund reported its stake.", "(R-12) TODO write notice text", "Avis (à compléter)", "Das Kürzel (noch einzutragen) geht am 16.", "pagará (por completar) SEK", "détaché le [EX DATE]"],
 )
 def test_placeholders_in_any_notation(line):
     assert bits(line) & BITS["placeholder"]
@@ -25,7 +25,7 @@ def test_placeholders_in_any_notation(line):
     "line, reason",
     [("Dolor sit amet consectetur adipiscing elit", "filler"), ("bla bla bla bla bla bla bla", "filler"), ("Sample text, to be replaced before release.", "filler"), ("Ceci est un faux texte pour la mise en page.", "filler"),
      ("Please enable JavaScript to view this announcement.", "script"), ("Los scripts están desactivados en su navegador.", "script"), ("Diese Seite benötigt JavaScript und Cookies.", "script"), ("<noscript Turn on JavaScript and reload.", "script"),
-     ("404 Page not found", "error"), ("Access denied Please try again in a few minutes.", "error"), ("ACCESS DENIED", "error"), ("Votre session a expiré", "error"), ('{"status": 503, "error": "Service unavailable"}', "error"),
+     ("Coming soon.", "filler"), ("Your headline here.", "filler"), ("-- no text entered --", "filler"), ("Überschrift eingeben.", "filler"), ("Escriba aquí el titular.", "filler"), ("Votre titre ici.", "filler"), ("Korea, 11 January 2021 - Content for this tab has not been added yet.", "filler"), ("Click to edit this paragraph.", "filler"), ("This section is under construction.", "filler"), ("foo bar foo bar foo bar foo bar foo bar.", "filler"), ("500 Internal server error", "error"), ("404 Page not found", "error"), ('{"status": 404, "error": "The page you asked for does not exist", "trace": "1c"}', "error"), ("The page you asked for does not exist", "error"), ("(IX-190) Draft shell: title, lead, table, footer.", "filler"), ("US, 3 May 2024 - [this page intentionally holds sample data]", "filler"), ("Access denied Please try again in a few minutes.", "error"), ("ACCESS DENIED", "error"), ("Votre session a expiré", "error"), ('{"status": 503, "error": "Service unavailable"}', "error"),
      ("    at notices.load(Feed:754)", "error"), ("sql.DataAccessError: payload missing", "error"), ("Menu Search Login 503 Service unavailable", "error"), ("Error 500: Se ha producido un error", "error")],
 )
 def test_messages(line, reason):
