@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
 from ..sources.tables import table
 from .mixing import mix, quality
 from .packing import pack
@@ -43,7 +42,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share every source reached."""
-    return cut(_mixed(spark, d)[1])
+    return _mixed(spark, d)[1]
 
 
 def p9_lines(spark: SparkSession, d: str) -> DataFrame:
