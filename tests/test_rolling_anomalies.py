@@ -85,6 +85,48 @@ def test_spikes_runs_limits_and_a_level_shift(spark):
     assert len(got) == 5 * 120 + 60
 
 
+def cases(c):
+    """The exact rule by brute force: positions of excursions and of stuck readings."""
+    move = np.abs(np.diff(np.log(c)))
+    usual, l = np.sort(move[move > 0])[(np.count_nonzero(move) - 1) // 2], np.log(c)
+    spikes, stuck, start = set(), set(), 0
+    for k in (1, 2, 3):
+        for i in range(len(c) - k - 1):
+            far = min(min(abs(x - l[i]), abs(x - l[i + k + 1])) for x in l[i + 1 : i + k + 1])
+            if far > 10 * usual and abs(l[i + k + 1] - l[i]) < 0.5 * far:
+                spikes |= set(range(i + 1, i + k + 1))
+    for i in range(1, len(c) + 1):
+        if i == len(c) or c[i] != c[start]:
+            stuck |= set(range(start + 1, i)) if i - start >= 6 else set()
+            start = i
+    return spikes, stuck
+
+
+def test_every_case_of_often_stuck_and_coarse_sources_is_found(spark):
+    rows, want = [], {}
+    for seed in range(20):
+        often, coarse = np.array(series(seed, 300)), np.round(np.array(series(seed, 300, 0.004)) * 2) / 2
+        for at in range(10, 270, 75):
+            often[at : at + 30] = often[at]  # 40 % of the readings
+        often[52] *= 1.4
+        coarse[150] = round(coarse[150] * 3.2) / 2
+        for name, c in ((f"often{seed}", often), (f"coarse{seed}", coarse)):
+            rows += rows_of(name, c.tolist())
+            want[name] = cases(c)
+    got = flags(spark, rows)
+    for i, kind in enumerate(("spike", "stuck")):
+        found = {k for k, r in got.items() if r[kind]}
+        assert found == {(name, D(2022, 1, 3) + dt.timedelta(j)) for name, w in want.items() for j in w[i]} and found
+
+
+def test_no_gate_loses_a_case(spark):
+    c = series(3, 200)
+    c[20:29], c[90] = [c[20]] * 9, c[90] * 1.5
+    x = score_readings(spark.createDataFrame(rows_of("a", c), P), source="l", day="d", value="c", activity="v", paused="x", params=ForestParams(gate=2.0))
+    got = x.where("spike OR stuck").count()
+    assert got == 9
+
+
 def test_paused_or_idle_readings_end_a_run(spark):
     rows = rows_of("d", series(9)[:40] + [5.0] * 11)
     rows[45] = (*rows[45][:4], True, 0.0, 0)
