@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from operator import eq
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from .cues import prefilter as prefilter_of
 
 #: Tags of a page's own markup; placeholders in angle brackets are not among them.
 TAGS = r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|br|noscript|script|meta|center|hr|ul|li)\b[^<>]{0,200}>"
@@ -167,39 +168,18 @@ REPORT = [
 REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
 BITS = {r: 1 << i for i, r in enumerate([*REASONS, "weak"])}
 
-#: A line can hold evidence only if one of these occurs in it: as written, or in lower case.
-CUES = [*"{[<@_«‹~&#", "%%", *[f"%{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"], "MERGEFIELD", "NaN", "NaT", " nan", " nil", "NULL", "None", "XX", "TODO", "FIXME", "X,X", "0000-00", *[f"%.{i}" for i in range(10)], "Error", "Exception"]
-CUES_LOWER = [
-    "undefined", "null", "invalid date", *[w for w in LATIN if len(w) > 4], "asdf", "qwer", "dummy", "placeholder", "sample", "filler", "example text", "example copy", "example content", "insert ",
-    "headline", "summary", "draft shell", "intentionally", "coming soon", "construction", "construcción", "has not been", "entered", "no content", "no copy", "to edit", "to add", "to enter", " here", "eingeben", "demnächst", "in kürze", "im aufbau", " ici", "saisissez", "écrivez", "bientôt", "aquí", "escriba", "introduzca", "próximamente",
-    "compléter", "remplir", "préciser", "completar", "rellenar", "einfügen", "eintragen", "einzutragen", "einzufügen", "auszufüllen", "zu ergänzen", "insérer", "insertar", "(to be ", "[to be ", "(add ", "(enter ", "(your ", "(please ", "(fill ", "server error", "goes here", "notice text", "blindtext", "mustertext", "beispieltext", "platzhalter", "faux texte", "texte d", "texto de", "script", "cookie", "loading",
-    "error 0", "error occurred", "error:", "fehler", "erreur", "error interno", "un error", "page not", "page you", "could not load", "forbidden", "access denied", "gateway", "unavailable", "timed out",
-    "too many requests", "session has", "session expired", "went wrong", "unauthori", "not authori", "try again", "sign in", "log in", "have permission", "the server", "upstream", "maintenance",
-    "told about", "home page", "homepage", "mistyped", "contact support", "startseite", "seite nicht", "angeforderte", "zugriff", "dienst nicht", "sitzung", "anfragen", "erneut", "berechtigung", "serverfehler",
-    "accès refusé", "introuvable", "indisponible", "a expiré", "requêtes", "réessayer", "reconnecter", "n'existe", "n’existe", "n'avez", "n’avez", "l'accueil", "l’accueil", "página", "acceso denegado",
-    "servicio no", "sesión", "solicitudes", "permiso para", "al inicio", "inténtelo", "intentelo", "reintentar", "traceback", "request id", "request:", "incident:", "incident id", "trace:", "correlation",
-    'file "', "captcha", "reload", "retry", "skript",
-]
-
-
 @cache
 def _tools():
-    def automaton(words: list[str]):
-        a = ahocorasick.Automaton()
-        for w in words:
-            a.add_word(w, len(w))
-        a.make_automaton()
-        return a
-
     union = lambda ps: re.compile("|".join(f"(?:{p})" for p in ps if "\\1" not in p))
     alone = {r: [re.compile(p) for p in ps if "\\1" in p] for r, ps in REASONS.items()}
-    return automaton(CUES), automaton(CUES_LOWER), {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT), union(EXPLAIN)
+    may_hold = prefilter_of([p for ps in [*REASONS.values(), WEAK] for p in ps if "\\1" not in p])
+    return may_hold, {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT), union(EXPLAIN)
 
 
 _NOSCRIPT = re.compile(r"(?i)<noscript[^<>]{0,100}>")
 _TAG = re.compile(TAGS)
 _CUT = re.compile(r"(?<=[.!?])\s+(?=\S)|[\r\n]+")
-_DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"\s+")
+_DIGITS, _SPACE, _WORD = re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
 
 
 def lines_of(text: str) -> list[str]:
@@ -214,16 +194,25 @@ def normalised(line: str) -> str:
     return _SPACE.sub(" ", _DIGITS.sub("0", line.lower())).strip()
 
 
-def _repeats(line: str) -> bool:
-    words = line.split()
-    return len(words) > 5 and 3 * len({w.strip(".,").lower() for w in words}) <= len(words)
+def _repeats(low: str) -> bool:
+    """Whether four words are those two before them, as in every line that a pattern of repetition matches.
 
-
-def flags_of(line: str, low: str) -> int:
-    """The evidence bits of one line, 0 for none or for a report on such things."""
-    as_written, lower, unions, alone, weak, report, explain = _tools()
-    repeats = _repeats(line)
-    if not repeats and next(as_written.iter(line), None) is None and next(lower.iter(low), None) is None and not line.lstrip().startswith("at "):
+    Of its pieces between blanks, commas and full stops all but the first and last are then plain words, so two are those two before them.
+    """
+    if "\u0131" in low or "\u017f" in low or "\u0307" in low:
+        return True
+    pieces = low.replace(",", " ").replace(".", " ").split()
+    if len(pieces) < 6 or sum(map(eq, pieces, pieces[2:])) < 2:
+        return False
+    words = _WORD.findall(low)
+    return sum(map(eq, words, words[2:])) > 3
+
+
+def flags_of(line: str, low: str, prefilter: bool = True) -> int:
+    """The evidence bits of one line, 0 for none or for a report on such things; the prefilter saves work and changes none."""
+    may_hold, unions, alone, weak, report, explain = _tools()
+    repeats = not prefilter or _repeats(low)
+    if not repeats and not may_hold(line):
         return 0
     bits = 0
     for r, u in unions.items():

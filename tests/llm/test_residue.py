@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import random
+import re
+from re import _parser
+
 import pytest
 
+from indexloom.llm import residue as module
+from indexloom.llm.cues import cues_of, prefilter
 from indexloom.llm.residue import BITS, flags_of, lines_of, normalised, residue
 
 S = "doc_id long, text string, source string, k int, h string, x int"
@@ -43,6 +49,68 @@ def test_authored_text_is_no_evidence(line):
     assert not bits(line) & (BITS["weak"] - 1)
 
 
+# The start of what a pattern of the lists matches; each was lost for want of a cue or is one of its borders.
+EVIDENCE = ["An error has occurred.", "An unexpected error has occurred.", "(figure to be confirmed)", "(ratio to be completed)", "Trace ID: 4f00aa91bc", "Add title", "Write the lead", "No text available yet", "Entrez le texte",
+            "nan: change notice", "(nan)", "Sed sit sed nisi sit enim.", "SIT AMET ELIT SED", "Type title here", "  at a.b(C:12)", "the fee %s rises", "loss of %.2f", "x %name% y", "ADD TEXT", "Add a ſummary", "bla, bla, bla, bla, bla, bla and then a long sentence of other words follows it here", "foo,bar,foo,bar,foo,bar,foo,bar"]
+
+
+@pytest.mark.parametrize("line", EVIDENCE)
+def test_no_evidence_is_lost_before_the_patterns(line):
+    assert flags_of(line, normalised(line)) & (BITS["weak"] - 1)
+    assert flags_of(line, normalised(line)) == flags_of(line, normalised(line), prefilter=False)
+
+
+def _example(items, choose, groups):
+    """A text that a parsed pattern matches, as far as its assertions let it."""
+    out = ""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL" or name == "ANY":
+            out += "q"
+        elif name == "IN":
+            ok = [c for c in "abqzABQ059_ .,:;-●•%?=wxé’'é\t" + "".join(chr(a) for o, a in arg if str(o) == "LITERAL") if re.fullmatch(_set(arg), c)]
+            out += choose(ok) if ok else ""
+        elif name == "SUBPATTERN":
+            out += (part := _example(arg[3], choose, groups))
+            groups[arg[0]] = part
+        elif name == "BRANCH":
+            out += _example(choose(arg[1]), choose, groups)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_example(arg[2], choose, groups) for _ in range(choose([arg[0], min(arg[1], arg[0] + 1), min(arg[1], arg[0] + 3)])))
+        elif name == "GROUPREF":
+            out += groups[arg]
+    return out
+
+
+def _set(items):
+    part = {"CATEGORY_SPACE": r"\s", "CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}
+    one = lambda o, a: "^" if o == "NEGATE" else re.escape(chr(a)) if o == "LITERAL" else f"{re.escape(chr(a[0]))}-{re.escape(chr(a[1]))}" if o == "RANGE" else part[str(a)]
+    return "[" + "".join(one(str(o), a) for o, a in items) + "]"
+
+
+@pytest.mark.parametrize("pattern", [p for ps in [*module.REASONS.values(), module.WEAK] for p in ps])
+def test_examples_of_every_pattern_pass_the_prefilter(pattern):
+    r, matched = random.Random(pattern), 0
+    for _ in range(300):
+        body = _example(_parser.parse(pattern), r.choice, {})
+        if r.random() < 0.3:
+            body = r.choice([body.upper(), body.title(), body.lower()])
+        line = r.choice(["", "", "  ", "It is: ", "x", "5"]) + body + r.choice(["", "", ".", " and more", "x", " X"])
+        if re.search(pattern, line):
+            matched += 1
+            assert flags_of(line, normalised(line)) == flags_of(line, normalised(line), prefilter=False), line
+            assert "\\1" in pattern or prefilter([pattern])(line), line
+    assert matched > 20
+
+
+def test_a_pattern_without_any_literal_is_refused():
+    with pytest.raises(ValueError):
+        cues_of(r"\w+|foo")
+    assert cues_of(r"(?i)Foo(?: bar)?|\bx[yz]\d") == ({"foo", "foo bar", "\0xy", "\0xz"}, True)
+
+
 def test_lines():
     assert lines_of("One. Two!\nThree <b>x</b></p>Four\n\n  \n") == ["One.", "Two!", "Three <b>x</b>", "Four"]
     assert normalised("  Rank 12,  ON 3.5%") == "rank 0, on 0.0%"
