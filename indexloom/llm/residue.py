@@ -150,19 +150,34 @@ ERROR = [
 #: Names of such things without being one: evidence only if nothing else is left.
 WEAK = [r"(?i:\b(?:java ?script|cookies|error [45]\d\d|lorem ipsum|placeholder|captcha|reload|retry|loading|réessayer|reintentar|erneut versuchen)\b)"]
 
-#: Words by which an author explains a placeholder or a missing value.
+#: Words by which an author explains a placeholder or a missing value; they clear only placeholders that are mentioned.
 EXPLAIN = [
     r"(?i:\b(?:the template marks|form's field|open fields|field takes|still showed|in its title|sent it back|we replaced|the marker|data dictionary|undefined (?:case|behaviou?r|term)|cannot occur|not computable|means (?:that|not|the)|stands for|is written as|notation)\b)",
     r"(?i:\b(?:bedeutet|steht für|signifie|désigne|significa)\b)",
 ]
-#: Words by which an author reports on a message, a notice about scripts, or filler copy.
-REPORT = [
-    *EXPLAIN,
-    r"(?i:\b(?:clients?|customers?|users?|we|they|who) (?:asked|wanted to know|reported|saw)\b|\basked (?:whether|if|us|them)\b|\b(?:answered with|returned an?|returns error|switched to|fell to|rose to|was denied to|had (?:left|expired|been)|never published|was tested|used the backup))",
-    r"(?i:\b(?:fragte|meldete|antwortete|wurde vor der|lag bereits vor)\b|\bersetzt\.?$)",
-    r"(?i:\b(?:a demandé|a renvoyé|a répondu|a été (?:remplacé|utilisé))\b)",
-    r"(?i:\b(?:preguntó|devolvió|respondió|se (?:sustituyó|usó))\b)",
+#: What stands right before a placeholder that is mentioned: the verb whose object it is, or what it is called.
+MENTIONED_BEFORE = (
+    r"(?i:(?:\btemplate marks\b[^{}\[\]<>%$]{0,40}\b(?:with|by|as)|\b(?:form's field|the (?:marker|field|placeholder|notation)|open fields (?:are|were) marked (?:with|by|as)|still showed|is written as|in (?:the )?notation|we replaced(?: (?:the|every|each|all))?))\s*[\"'“„«‘(]?$)"
+)
+#: What follows one that is mentioned: the verb whose subject it is, also behind others of its kind, or what it is a case of.
+MENTIONED_AFTER = r"(?i:[\"'”“»’)]?(?:(?:,| and| or| und| oder| et| ou| y| o) \S+){0,3} (?:means (?:that|not|the)|stands for|field takes|takes the|is written as|cannot occur|is not computable|(?:case|behaviou?r|term)\b|bedeutet|steht für|signifie|désigne|significa)\b|[^{}\[\]<>%$]*\b(?:reviewer|editor|checker|desk)s? sent it back\b)"
+_QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’", "`": "`"}
+#: Words by which an author reports on a message, a notice about scripts, or filler copy, as what is asked or seen ...
+ASKED = [
+    r"(?i:\b(?:clients?|customers?|users?|we|they|who) (?:asked|wanted to know|reported|saw)\b|\basked (?:whether|if|us|them)\b|\b(?:answered with|returned an?|returns error)\b)",
+    r"(?i:\b(?:fragte|meldete|antwortete)\b)",
+    r"(?i:\b(?:a demandé|a renvoyé|a répondu)\b)",
+    r"(?i:\b(?:preguntó|devolvió|respondió)\b)",
+]
+#: ... or as what something became of.
+BECAME = [
+    r"(?i:\b(?:switched to|fell to|rose to|was denied to|had (?:left|expired|been)|never published|was tested|used the backup))",
+    r"(?i:\b(?:wurde vor der|lag bereits vor)\b|\bersetzt\.?$)",
+    r"(?i:\b(?:a été (?:remplacé|utilisé))\b)",
+    r"(?i:\b(?:se (?:sustituyó|usó))\b)",
 ]
+#: A weak hint is cleared by any of them in its line; evidence only by one that it is the object or subject of.
+REPORT = [*EXPLAIN, *ASKED, *BECAME]
 
 #: Reasons and their bits in a line's flags; ``weak`` is a hint only.
 REASONS = {"placeholder": PLACEHOLDER, "filler": FILLER, "script": SCRIPT, "error": ERROR}
@@ -173,12 +188,13 @@ def _tools():
     union = lambda ps: re.compile("|".join(f"(?:{p})" for p in ps if "\\1" not in p))
     alone = {r: [re.compile(p) for p in ps if "\\1" in p] for r, ps in REASONS.items()}
     may_hold = prefilter_of([p for ps in [*REASONS.values(), WEAK] for p in ps if "\\1" not in p])
-    return may_hold, {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT), union(EXPLAIN)
+    return may_hold, {r: union(ps) for r, ps in REASONS.items()}, alone, union(WEAK), union(REPORT), union(EXPLAIN), re.compile(MENTIONED_BEFORE), re.compile(MENTIONED_AFTER), union([*EXPLAIN, *ASKED]), union([*EXPLAIN, *BECAME])
 
 
 _NOSCRIPT = re.compile(r"(?i)<noscript[^<>]{0,100}>")
 _TAG = re.compile(TAGS)
 _CUT = re.compile(r"(?<=[.!?])\s+(?=\S)|[\r\n]+")
+_PART = re.compile(r"[^|A-ZÀ-Ü]{0,80}")
 _DIGITS, _SPACE, _WORD = re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
 
 
@@ -208,9 +224,24 @@ def _repeats(low: str) -> bool:
     return sum(map(eq, words, words[2:])) > 3
 
 
+def _mentioned(line: str, found: re.Match, before: re.Pattern, after: re.Pattern) -> bool:
+    """Whether a line that explains something explains this placeholder: it is quoted, the subject or object of the verb, or a value in a data dictionary."""
+    a, b = found.span()
+    quoted = a > 0 and _QUOTES.get(line[a - 1]) == line[b : b + 1]
+    return bool(quoted or before.search(line, 0, a) or after.match(line, b) or (found.group().isalpha() and "data dictionary" in line.lower()))
+
+
+def _reported(line: str, found: re.Match, asked: re.Pattern, became: re.Pattern) -> bool:
+    """Whether a line reports on this message: a word of asking comes before it, or one of becoming after it and before the next capital, in its part between bars."""
+    a, b = found.span()
+    start = max(line.rfind("|", 0, a) + 1, a - 80)
+    after = _PART.match(line, b)
+    return bool(asked.search(line, start, a) or became.search(line, b, after.end()))
+
+
 def flags_of(line: str, low: str, prefilter: bool = True) -> int:
     """The evidence bits of one line, 0 for none or for a report on such things; the prefilter saves work and changes none."""
-    may_hold, unions, alone, weak, report, explain = _tools()
+    may_hold, unions, alone, weak, report, explain, *mention, asked, became = _tools()
     repeats = not prefilter or _repeats(low)
     if not repeats and not may_hold(line):
         return 0
@@ -220,10 +251,12 @@ def flags_of(line: str, low: str, prefilter: bool = True) -> int:
             bits |= BITS[r]
     if not bits and len(line) <= 200 and weak.search(line):
         bits = BITS["weak"]
-    if bits & BITS["placeholder"] and explain.search(line):
+    if bits & BITS["placeholder"] and explain.search(line) and all(_mentioned(line, m, *mention) for m in unions["placeholder"].finditer(line)):
         bits &= ~BITS["placeholder"]
     if bits & ~BITS["placeholder"] and report.search(line):
-        bits &= BITS["placeholder"]
+        found = [m for r in REASONS if r != "placeholder" and bits & BITS[r] for p in (unions[r], *alone[r]) for m in p.finditer(line)]
+        if all(_reported(line, m, asked, became) for m in found):
+            bits &= BITS["placeholder"]
     return bits
 
 

@@ -49,6 +49,38 @@ def test_authored_text_is_no_evidence(line):
     assert not bits(line) & (BITS["weak"] - 1)
 
 
+@pytest.mark.parametrize(
+    "line",
+    ['"Sponsor" means the {{sponsor_name}}.', "Trading day means the day on which {{exchange}} is open.", "CCY stands for ${currency}.", "We replaced the auditor by {{auditor}} on 3 May.", "Contact the open fields desk at {{phone}}.", "«Promoteur» désigne {{sponsor}}.",
+     "Stichtag bedeutet {{date}}.", '"{{term}}" means the {{sponsor_name}}.', "The index is written as the sum of {{n}} terms.", "In this notation the weight of [COMPANY NAME] is w.", "The client sent it back to {{address}}.", "The data dictionary was sent to {{client}}."],
+)
+def test_an_unfilled_field_beside_words_of_explaining_is_evidence(line):
+    assert bits(line) & BITS["placeholder"]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ['"{{issuer_name}}" stands for the full legal name.', "{{date}} means the day of record.", "null and NaN means not reported.", "The form's field ${amount} takes the gross figure.", "The draft still showed {{issuer_name}} in its title; the reviewer sent it back.", "The date is written as {{date}} in drafts.",
+     "The draft named {{issuer}} twice, so the reviewer sent it back.", "Das Kürzel {{datum}} steht für den Stichtag."],
+)
+def test_a_mentioned_placeholder_is_no_evidence(line):
+    assert not bits(line) & BITS["placeholder"]
+
+
+@pytest.mark.parametrize(
+    "line, reason",
+    [("World shares fell to 30 | 503 Service unavailable", "error"), ("Internal server error Index rose to 12", "error"), ("Prices | users saw gains | Please enable JavaScript to view this page", "script"), ("Volume fell to 3, please enable JavaScript to view it.", "script"),
+     ("The desk switched to Paris - Please try again later.", "error"), ("Please enable cookies | Weights rose to 3 %", "script")],
+)
+def test_a_message_beside_words_of_reporting_is_evidence(line, reason):
+    assert bits(line) & BITS[reason]
+
+
+@pytest.mark.parametrize("line", ["The page returned an error page: 503 Service unavailable.", "503 Service unavailable answers fell to 2 per day.", "Two users asked whether they must enable JavaScript for the list.", "Der Server meldete 503 Service unavailable."])
+def test_a_reported_message_is_no_evidence(line):
+    assert not bits(line) & (BITS["weak"] - 1)
+
+
 # The start of what a pattern of the lists matches; each was lost for want of a cue or is one of its borders.
 EVIDENCE = ["An error has occurred.", "An unexpected error has occurred.", "(figure to be confirmed)", "(ratio to be completed)", "Trace ID: 4f00aa91bc", "Add title", "Write the lead", "No text available yet", "Entrez le texte",
             "nan: change notice", "(nan)", "Sed sit sed nisi sit enim.", "SIT AMET ELIT SED", "Type title here", "  at a.b(C:12)", "the fee %s rises", "loss of %.2f", "x %name% y", "ADD TEXT", "Add a ſummary", "bla, bla, bla, bla, bla, bla and then a long sentence of other words follows it here", "foo,bar,foo,bar,foo,bar,foo,bar"]
