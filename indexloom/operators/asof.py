@@ -4,15 +4,18 @@ A version enters the picture at its *activation time* and from then on competes
 versions before it; the one in force at time k is the greatest (by ``order``) of all versions
 active by k. That is a running maximum over time, which is mergeable, so an entity's time line
 can be cut anywhere: a shard only needs the greatest version of all shards before it (its
-carry-in) to give the same answers as the uncut line.
+carry-in) to give the same answers as the uncut line. Every entity is cut at the same borders,
+so there is no threshold from which an entity counts as hot: a busy one simply has more shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,6 +25,30 @@ def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+class _Rank:
+    """``order`` columns as one comparable value: two dates fit a bigint, which hash aggregates hold; others stay a struct."""
+
+    def __init__(self, versions: DataFrame, order: Sequence[str]):
+        self.order = list(order)
+        self.packed = len(self.order) <= 2 and all(isinstance(versions.schema[c].dataType, DateType) for c in self.order)
+
+    def pack(self) -> Column:
+        if not self.packed:
+            return F.struct(*[F.col(c) for c in self.order])
+        days = [F.unix_date(F.col(c)).cast("bigint") for c in self.order]
+        return days[0] if len(days) == 1 else days[0] * (1 << 32) + (days[1] + (1 << 31))
+
+    def unpack(self, c: str) -> Column:
+        if not self.packed:
+            return F.col(c)
+        v = F.col(c)
+        if len(self.order) == 1:
+            parts = [v]
+        else:
+            parts = [F.shiftright(v, 32), v.bitwiseAND((1 << 32) - 1) - (1 << 31)]
+        return F.when(v.isNotNull(), F.struct(*[F.date_from_unix_date(p.cast("int")).alias(n) for p, n in zip(parts, self.order, strict=True)]))
+
+
 def as_known(
     events: DataFrame,
     versions: DataFrame,
@@ -31,8 +58,7 @@ def as_known(
     order: Sequence[str],
     clocks: Mapping[str, Column],
     variants: Mapping[str, Sequence[str]] | None = None,
-    hot_rows: int = 50_000,
-    shard_days: int = 366,
+    shard_days: float = 366,
 ) -> DataFrame:
     """For each distinct (entity, event time, variant): the version in force, per clock.
 
@@ -42,9 +68,12 @@ def as_known(
     of the ``order`` columns per clock (null where nothing was known).
 
     Physical plan: events and versions are reduced to one row per key and instant (map-side
-    combine), keys with more than ``hot_rows`` instants are cut into shards of ``shard_days``
-    days, each shard receives the last preceding version as carry-in, and a window per
-    (key, shard) merges locally. No side is broadcast by hint and no pair is emitted.
+    combine) and both exchanges are used twice: their rows go to their (entity, shard of
+    ``shard_days``), and one row per (key, shard) with its greatest version goes to a window over
+    shards that gives each shard the last preceding version as a carry-in row. Shards then merge
+    locally, independent of each other; events are asked for their variants only there. No side is
+    broadcast and no pair is emitted. ``shard_days`` bounds what one task sorts of an entity at
+    a time; it may be a fraction for event times finer than days.
 
     Defined cases: events without key or time are not asked; versions with a null in key,
     ``order`` or clock are never in force; repeated rows and ties count once; a version active on
@@ -52,44 +81,48 @@ def as_known(
     ignored, so their names cannot clash.
     """
     variants = dict(variants or {})
-    keys = [*entity, *variants]
-    names = list(clocks)
-    k = [f"k{i}" for i in range(len(keys))]
-
-    ev = events.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(entity)], F.col(event_time).alias("t"))
-    ev = _present(ev, [*[f"k{i}" for i in range(len(entity))], "t"]).distinct()
-    for i, v in enumerate(variants.values(), start=len(entity)):
-        ev = ev.withColumn(f"k{i}", F.explode(F.array(*[F.lit(x) for x in v])))
+    names, rank = list(clocks), _Rank(versions, order)
+    k, w, v = [f"k{i}" for i in range(len(entity))], [f"w{i}" for i in range(len(variants))], [f"v{i}" for i in range(len(names))]
+    seconds = round(shard_days * 86_400)
+
+    def shard(df: DataFrame, days: bool) -> DataFrame:
+        if days:
+            return df.withColumn("shard", F.floor(F.unix_date("t") / (seconds / 86_400)))
+        return df.withColumn("t", F.col("t").cast("timestamp")).withColumn("shard", F.floor(F.unix_seconds("t") / seconds))
+
+    ev = events.select(*[F.col(c).alias(n) for c, n in zip(entity, k, strict=True)], F.col(event_time).alias("t"))
+    ev = _present(ev, [*k, "t"]).distinct()
     ve = versions.select(
-        *[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)],
-        F.struct(*[F.col(c) for c in order]).alias("v"),
+        *[F.col(c).alias(n) for c, n in zip([*entity, *variants], [*k, *w], strict=True)],
+        rank.pack().alias("v"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("t")) for i, c in enumerate(clocks.values())])).alias("c"),
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
     )
-    ve = _present(ve, [*k, *[f"o{i}" for i in range(len(order))]])
-    for i, v in enumerate(variants.values(), start=len(entity)):
-        ve = ve.where(F.col(f"k{i}").isin(*v))
-    vs = [F.when(F.col("c.i") == i, F.col("v")).alias(f"v{i}") for i in range(len(names))]
-    ve = ve.where(F.col("c.t").isNotNull()).select(*k, F.col("c.t").alias("t"), F.lit(False).alias("asked"), *vs)
-    ev = ev.select(*k, "t", F.lit(True).alias("asked"), *[F.lit(None).cast(ve.schema[f"v{i}"].dataType).alias(f"v{i}") for i in range(len(names))])
-    line = ve.unionByName(ev).groupBy(*k, "t").agg(F.max("asked").alias("asked"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
-
-    # hot and carry read the same columns as the main branch, so that all three share one exchange
-    said = F.col("asked")
-    for i in range(len(names)):
-        said = said | F.col(f"v{i}").isNotNull()
-    hot = line.groupBy(*k).agg(F.count_if(said).alias("n")).where(F.col("n") > hot_rows).select(*k, F.lit(True).alias("hot"))
-    shard = F.when(F.col("hot"), F.floor(F.datediff(F.col("t"), F.lit("1970-01-01")) / shard_days)).otherwise(0).cast("int")
-    cut = line.join(hot, k, "left").withColumn("shard", shard).withColumn("carried", F.lit(0))
-    before = Window.partitionBy(*k).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        cut.where("hot")
-        .groupBy(*k, "shard")
-        .agg(F.min("t").alias("t"), F.max("asked").alias("asked"), *[F.max(f"v{i}").alias(f"v{i}") for i in range(len(names))])
-        .select(*k, "t", "asked", *[F.max(f"v{i}").over(before).alias(f"v{i}") for i in range(len(names))], F.lit(True).alias("hot"), "shard", F.lit(1).alias("carried"))
-    )
-    local = Window.partitionBy(*k, "shard").orderBy(F.desc("carried"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = cut.unionByName(carry).select(*k, "t", "asked", "carried", *[F.max(f"v{i}").over(local).alias(f"v{i}") for i in range(len(names))])
-    return merged.where("asked AND carried = 0").select(
-        *[F.col(n).alias(c) for c, n in zip(keys, k, strict=True)], F.col("t").alias(event_time), *[F.col(f"v{i}").alias(n) for i, n in enumerate(names)]
+    ve = _present(ve, [*k, *w, *[f"o{i}" for i in range(len(order))]])
+    for n, values in zip(w, variants.values(), strict=True):
+        ve = ve.where(F.col(n).isin(*values))
+    ve = ve.where(F.col("c.t").isNotNull()).groupBy(*k, *w, F.col("c.t").alias("t")).agg(*[F.max(F.when(F.col("c.i") == i, F.col("v"))).alias(n) for i, n in enumerate(v)])
+    days = all(isinstance(x.schema["t"].dataType, DateType) for x in (ve, ev))
+    ve, ev = shard(ve, days), shard(ev, days)
+
+    line = ve.withColumn("asked", F.lit(False)).unionByName(ev.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    asked_for = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(c, w, strict=True)]) for c in product(*variants.values())]) if w else None
+
+    def with_variants(df: DataFrame) -> DataFrame:
+        if not w:
+            return df
+        own = F.array(F.struct(*[F.col(n) for n in w]))
+        return df.withColumn("w", F.explode(F.when(F.col("asked"), asked_for).otherwise(own))).select(*[c for c in df.columns if c not in w], *[F.col(f"w.{n}").alias(n) for n in w])
+
+    key = [*k, *w]
+    last = with_variants(line).groupBy(*key, "shard").agg(*[F.max(n).alias(n) for n in v])
+    before = Window.partitionBy(*key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*key, "shard", *[F.max(n).over(before).alias(n) for n in v]).where(F.coalesce(*v).isNotNull())
+    carry = carry.withColumn("asked", F.lit(False)).withColumn("t", F.lit(None).cast(line.schema["t"].dataType))
+    spread = with_variants(line.unionByName(carry).repartition(*k, "shard"))
+    # the carry-in comes first, and a version of an event's own instant before the event
+    local = Window.partitionBy(*key, "shard").orderBy(F.asc_nulls_first("t"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = spread.select(*key, "t", "asked", *[F.max(n).over(local).alias(n) for n in v])
+    return merged.where("asked").select(
+        *[F.col(n).alias(c) for c, n in zip([*entity, *variants], key, strict=True)], F.col("t").alias(event_time), *[rank.unpack(n).alias(c) for c, n in zip(names, v, strict=True)]
     )

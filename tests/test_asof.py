@@ -42,8 +42,9 @@ def test_against_brute_force_uncut_and_in_shards(spark):
     for seed in range(3):
         events, versions = random_case(seed)
         want = brute(events, versions)
+        assert run(spark, events, versions, shard_days=36_600) == want
         assert run(spark, events, versions) == want
-        assert run(spark, events, versions, hot_rows=3, shard_days=20) == want
+        assert run(spark, events, versions, shard_days=20) == want
 
 
 def test_restatement_of_an_old_period_does_not_win_and_same_day_counts(spark):
@@ -67,10 +68,24 @@ def test_clashing_extra_columns(spark):
     assert len(r) == 1 and tuple(r[0]["known"]) == (D(2021, 3, 31), D(2021, 4, 1))
 
 
+def test_event_times_within_a_day_and_other_orders(spark):
+    ev = spark.createDataFrame([("x", dt.datetime(2021, 5, 1, h), 0) for h in (1, 5, 9, 13)], "s string, k timestamp, n int")
+    ve = spark.createDataFrame([("x", dt.datetime(2021, 5, 1, h), v, c) for h, v, c in ((2, 1, "a"), (5, 3, "b"), (6, 2, "c"), (12, 3, "c"))], "s string, t timestamp, v int, c string")
+    for days in (1 / 24, 0.25, 366):
+        x = as_known(ev, ve, entity=["s"], event_time="k", order=["v", "c"], clocks={"known": F.col("t")}, shard_days=days)
+        assert sorted((r["k"].hour, tuple(r["known"]) if r["known"] else None) for r in x.collect()) == [(1, None), (5, (3, "b")), (9, (3, "b")), (13, (3, "c"))]
+
+
+def test_every_key_gets_carry_in_with_the_default_shards(spark):
+    versions = [("x", "A", D(2015, 3, 31), D(2015, 4, 10), 1.0, "")]
+    got = run(spark, [("x", D(y, 6, 1), "") for y in range(2014, 2024)], versions)
+    assert [got["x", D(y, 6, 1), "A"][0] is not None for y in range(2014, 2024)] == [False] + [True] * 9
+
+
 def test_a_hot_entity_is_cut_and_no_side_is_broadcast_by_hint(spark):
     n = 3000
     ev = spark.range(n).select(F.lit("x").alias("s"), F.expr("date_add(date'2010-01-01', cast(id as int))").alias("k"))
     ve = spark.range(n).select(F.lit("x").alias("s"), F.lit("A").alias("item"), F.expr("date_add(date'2010-01-01', cast(id as int))").alias("p"), F.expr("date_add(date'2010-01-01', cast(id + id % 90 as int))").alias("f"))
     kw = dict(entity=["s"], event_time="k", order=["p", "f"], variants={"item": ["A"]}, clocks={"known": F.col("f")})
-    cut, uncut = as_known(ev, ve, **kw, hot_rows=100, shard_days=30), as_known(ev, ve, **kw)
+    cut, uncut = as_known(ev, ve, **kw, shard_days=30), as_known(ev, ve, **kw, shard_days=36_600)
     assert cut.count() == n and cut.exceptAll(uncut).isEmpty() and uncut.exceptAll(cut).isEmpty()
