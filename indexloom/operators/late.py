@@ -6,6 +6,11 @@ provisional state. A scheduled batch recomputes the periods that are still open
 log, replaces the provisional state, and freezes a period once its lateness cut-off has passed.
 Both layers are plain aggregations with map-side combine, so a hot entity costs one partial
 state per task.
+
+A period's schedule is the same for all: its end, then a batch every ``batch_days``, the last of
+which is the cut-off. Between two of them lies one *turn*; a record belongs to the turn in which
+it becomes known. :func:`layers` builds both layers over those
+turns, :func:`lambda_views` serves them; ``streaming.lambda_store`` keeps them in a folder.
 """
 
 from __future__ import annotations
@@ -41,12 +46,37 @@ def schedule(lateness_days: int, batch_days: int) -> list[int]:
     return [*range(batch_days, lateness_days, batch_days), lateness_days]
 
 
+def with_turn(log: DataFrame, runs: Sequence[int]) -> DataFrame:
+    """Usable records with their ``turn``: 0 up to the period's end, i up to batch i, one more past the cut-off."""
+    late, turn = late_by(), F.lit(len(runs) + 1)
+    for i in range(len(runs), -1, -1):
+        turn = F.when(late <= (0 if i == 0 else runs[i - 1]), F.lit(i)).otherwise(turn)
+    return log.withColumn("turn", turn)
+
+
+def layers(log: DataFrame, keys: Sequence[str], runs: Sequence[int]) -> DataFrame:
+    """Both layers' states per (key, period): ``layer`` (0 fast, 1 batch), ``turn``, ``s``, ``n`` records.
+
+    The fast layer holds one increment per turn: the state of the records that arrived in it. The
+    batch of turn i is recomputed from the full log as it is then, not from increments: every
+    record that is known reaches it, in whatever order it came. One exchange serves both.
+    """
+    seen = F.sequence(F.greatest(F.col("turn"), F.lit(1)), F.lit(len(runs)))
+    by_batch = F.when(F.col("turn") <= len(runs), F.transform(seen, lambda i: F.struct(F.lit(1).alias("layer"), i.alias("turn")))).otherwise(F.array().cast("array<struct<layer:int,turn:int>>"))
+    to = F.concat(F.array(F.struct(F.lit(0).alias("layer"), F.col("turn"))), by_batch)
+    x = log.select(*keys, "p", "t", "k", "v", F.explode(to).alias("to"))
+    return x.groupBy(*keys, "p", F.col("to.layer").alias("layer"), F.col("to.turn").alias("turn")).agg(state().alias("s"), F.count(F.lit(1)).alias("n"))
+
+
 def lambda_views(log: DataFrame, *, entity: Sequence[str], event_time: str, known_time: str, value: str, lateness_days: int = 45, batch_days: int = 15) -> DataFrame:
     """Every (entity, month of event time) as its lambda view published it.
 
     Columns: the entity, ``period`` (first of month), ``provisional`` (the fast layer at the
-    period's last day), ``batches`` (the closing figure after each scheduled batch, in order),
-    ``final`` (as frozen at the cut-off), ``n_in_time``, ``n_late``, ``n_cut_off`` record counts.
+    period's last day), ``before_batch`` (what the fast layer had made of each batch's figure just
+    before the next batch ran: the last batch merged with the increments since), ``batches`` (the
+    closing figure after each scheduled batch, which replaces the provisional one), ``final`` (as
+    frozen at the cut-off: the last batch; increments past it change nothing), ``n_in_time``,
+    ``n_late``, ``n_cut_off`` record counts.
 
     The closing figure is the value of the record with the latest event time, then the latest
     known time, then the greatest value. Defined cases: records with a null in entity, event
@@ -54,21 +84,28 @@ def lambda_views(log: DataFrame, *, entity: Sequence[str], event_time: str, know
     period first heard of after its cut-off has a null ``final``; an empty log gives no rows.
     """
     runs = schedule(lateness_days, batch_days)
-    d = usable(log, entity, event_time, known_time, value).withColumn("late", late_by())
     e = [f"e{i}" for i in range(len(entity))]
-    g = d.groupBy(*e, "p").agg(
-        state(F.col("late") <= 0).alias("fast"),
-        *[state(F.col("late") <= r).alias(f"b{r}") for r in runs],
-        F.count_if(F.col("late") <= 0).alias("n_in_time"),
-        F.count_if((F.col("late") > 0) & (F.col("late") <= lateness_days)).alias("n_late"),
-        F.count_if(F.col("late") > lateness_days).alias("n_cut_off"),
+    parts = layers(with_turn(usable(log, entity, event_time, known_time, value), runs), e, runs)
+    fast = lambda i: F.max(F.when((F.col("layer") == 0) & (F.col("turn") == i), F.col("s")))
+    batch = lambda i: F.max(F.when((F.col("layer") == 1) & (F.col("turn") == i), F.col("s")))
+    arrived = lambda c: F.coalesce(F.sum(F.when((F.col("layer") == 0) & c, F.col("n"))), F.lit(0))
+    n = len(runs)
+    g = parts.groupBy(*e, "p").agg(
+        *[fast(i).alias(f"f{i}") for i in range(n + 1)],
+        *[batch(i).alias(f"b{i}") for i in range(1, n + 1)],
+        arrived(F.col("turn") == 0).alias("n_in_time"),
+        arrived((F.col("turn") > 0) & (F.col("turn") <= n)).alias("n_late"),
+        arrived(F.col("turn") > n).alias("n_cut_off"),
     )
+    # the served view between two batches: the figure of the last one, or of the fast layer before any, with the increments since
+    served = [F.greatest(F.col("f0") if i == 1 else F.col(f"b{i - 1}"), F.col(f"f{i}")) for i in range(1, n + 1)]
     return g.select(
         *[F.col(x).alias(c) for x, c in zip(e, entity, strict=True)],
         F.col("p").alias("period"),
-        F.col("fast.v").alias("provisional"),
-        F.array(*[F.col(f"b{r}.v") for r in runs]).alias("batches"),
-        F.col(f"b{runs[-1]}.v").alias("final"),
+        F.col("f0.v").alias("provisional"),
+        F.array(*[s["v"] for s in served]).alias("before_batch"),
+        F.array(*[F.col(f"b{i}.v") for i in range(1, n + 1)]).alias("batches"),
+        F.col(f"b{n}.v").alias("final"),
         "n_in_time",
         "n_late",
         "n_cut_off",

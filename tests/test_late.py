@@ -71,3 +71,49 @@ def test_fast_layer_serves_before_any_batch(spark, tmp_path):
     store.ingest(spark.createDataFrame([("a", D(2021, 1, 5), D(2021, 1, 6), 1.0, 0)], S))
     store.ingest(spark.createDataFrame([("a", D(2021, 1, 4), D(2021, 1, 9), 9.0, 0), ("b", D(2021, 1, 4), D(2021, 1, 9), 5.0, 0)], S))
     assert {(r["s"], r["value"], r["frozen"]) for r in store.serve().collect()} == {("a", 1.0, False), ("b", 5.0, False)}
+
+
+def test_fast_layer_between_batches_against_brute_force(spark):
+    rows = sample(5)
+    for (s, p), r in views(spark, rows).items():
+        assert list(r["before_batch"]) == [brute(rows, s, p, x) for x in (15, 30, 45)]
+
+
+def store(spark, tmp_path):
+    return LambdaStore(spark, f"file://{tmp_path}/store", entity=["s"], event_time="e", known_time="k", value="v", schema=S)
+
+
+def served(x):
+    return {(r["s"], r["period"]): (r["value"], r["frozen"]) for r in x.serve().collect()}
+
+
+def test_a_record_known_after_the_batch_day_is_still_served(spark, tmp_path):
+    x = store(spark, tmp_path)
+    x.ingest(spark.createDataFrame([("a", D(2021, 1, 5), D(2021, 1, 6), 1.0, 0), ("a", D(2021, 1, 9), D(2021, 2, 20), 2.0, 0)], S))
+    x.run_batch(D(2021, 2, 1))
+    assert served(x) == {("a", D(2021, 1, 1)): (2.0, False)}
+    x.run_batch(D(2021, 3, 1))
+    assert served(x) == {("a", D(2021, 1, 1)): (2.0, False)}
+    x.run_batch(D(2021, 3, 18))
+    assert served(x) == {("a", D(2021, 1, 1)): (2.0, True)}
+    x.ingest(spark.createDataFrame([("a", D(2021, 1, 30), D(2021, 3, 1), 3.0, 0)], S))
+    assert served(x) == {("a", D(2021, 1, 1)): (2.0, True)}
+
+
+def test_a_replayed_increment_replaces_itself_and_an_unpublished_one_is_not_read(spark, tmp_path):
+    x = store(spark, tmp_path)
+    part = spark.createDataFrame([("a", D(2021, 1, 5), D(2021, 1, 6), 1.0, 0)], S)
+    x.ingest(part, number=7)
+    x.ingest(part, number=7)
+    x.run_batch(D(2021, 1, 31))
+    assert x._log(x._published("speed")).count() == 1 and served(x) == {("a", D(2021, 1, 1)): (1.0, False)}
+    spark.createDataFrame([("a", D(2021, 1, 8), D(2021, 1, 9), 9.0, 0)], S).write.parquet(f"{x.path}/log/8")
+    x.run_batch(D(2021, 2, 1))
+    assert served(x) == {("a", D(2021, 1, 1)): (1.0, False)}
+
+
+def test_a_stream_feeds_the_fast_layer(spark, tmp_path):
+    x = store(spark, tmp_path)
+    spark.createDataFrame([("a", D(2021, 1, 5), D(2021, 1, 6), 1.0, 0)], S).write.parquet(f"file://{tmp_path}/in")
+    x.attach(spark.readStream.schema(S).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/checkpoint", availableNow=True).awaitTermination()
+    assert served(x) == {("a", D(2021, 1, 1)): (1.0, False)} and x._published("speed") == [1]
