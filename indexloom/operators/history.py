@@ -21,45 +21,67 @@ from pyspark.sql import functions as F
 from .intervals import OPEN, interval_days
 
 
-def _bits(b: int):
-    while b:
-        low = b & -b
-        yield low.bit_length() - 1
-        b ^= low
-
-
-def bitmap_versions(f: Sequence[int], e: Sequence[int], v: Sequence[str]) -> list[tuple[str, int, int]]:
-    """Versions (value, from, to) of one entity from intervals with different starts."""
-    if len(f) == 1:
-        return [(v[0], f[0], e[0])]
-    days = sorted({*f, *e})
-    at = {d: i for i, d in enumerate(days)}
-    free, present = (1 << (len(days) - 1)) - 1, {}
-    for j in sorted(range(len(f)), key=lambda j: -f[j]):
-        own = ((1 << at[e[j]]) - (1 << at[f[j]])) & free
-        if own:
-            present[v[j]] = present.get(v[j], 0) | own
-            free ^= own
-            if not free:
-                break
-    out = []
-    for value, b in present.items():
-        out += [(value, days[i], days[j]) for i, j in zip(_bits(b & ~(b << 1)), _bits((b << 1) & ~b), strict=True)]
-    return out
+def _in_force(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Per snapshot 0..n-1 the last of the rows that cover it, -1 for none; row i covers [at[i], to[i]).
+
+    Every row marks the two power-of-two stretches that its own is made of, and marks are handed
+    down from long stretches to their halves.
+    """
+    power = np.frexp((to - at).astype(float))[1] - 1
+    row, best = np.arange(len(at)), np.full(n, -1, np.int64)
+    for p in range(int(power.max(initial=0)), -1, -1):
+        own = power == p
+        np.maximum.at(best, at[own], row[own])
+        np.maximum.at(best, to[own] - (1 << p), row[own])
+        if p:
+            half = 1 << (p - 1)
+            best[half:] = np.maximum(best[half:], best[:-half].copy())
+    return best
+
+
+def _set_bits(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bit) of every set bit, in order."""
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.nonzero(bits)
+
+
+def bitmap_versions(entity: np.ndarray, f: np.ndarray, e: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Versions (entity, value, from, to), ordered by entity, of interval rows of many entities with different starts within each.
+
+    An entity's snapshots are its own change days; each (entity, value) has 64-bit words with one
+    bit per snapshot on which the value is in force, and runs of bits are versions.
+    """
+    o = np.lexsort((f, entity))
+    entity, f, e, value = entity[o], f[o], e[o], value[o]
+    span = 1 << 32
+    axis = np.unique(np.r_[entity * span + f + (span >> 1), entity * span + e + (span >> 1)])
+    day, owner = axis % span - (span >> 1), axis // span
+    row = _in_force(np.searchsorted(axis, entity * span + f + (span >> 1)), np.searchsorted(axis, entity * span + e + (span >> 1)), len(axis))
+    at = np.flatnonzero(row >= 0)
+    first = np.searchsorted(owner, owner[at])
+    key, local = owner[at] * (int(value.max(initial=0)) + 1) + value[row[at]], at - first
+    o = np.lexsort((local, key))
+    key, local, first = key[o], local[o], first[o]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (local[1:] // 64 != local[:-1] // 64)][: len(key)])
+    words = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (local % 64).astype(np.uint64)), new) if len(new) else np.zeros(0, np.uint64)
+    key, word, first = key[new], local[new] // 64, first[new]
+    follows = np.r_[False, (key[1:] == key[:-1]) & (word[1:] == word[:-1] + 1)][: len(key)]
+    top, one = np.uint64(63), np.uint64(1)
+    before = np.where(follows, np.roll(words, 1) >> top, np.uint64(0))
+    after = np.where(np.roll(follows, -1), np.roll(words, -1) << top, np.uint64(0))
+    begins, ends = _set_bits(words & ~((words << one) | before)), _set_bits(words & ~((words >> one) | after))
+    a, b = (first[w] + word[w] * 64 + bit for w, bit in (begins, ends))
+    return owner[a], value[row[a]], day[a], day[b + 1]
 
 
 def _versions(rows: pa.Array) -> pa.Array:
-    at = rows.offsets.to_numpy()
+    at = rows.offsets.to_numpy().astype(np.int64)
     s = rows.flatten()
-    f, e, v = (s.field(i).to_pylist() for i in range(3))
-    base, out, counts = int(at[0]), [], []
-    for a, b in zip((at[:-1] - base).tolist(), (at[1:] - base).tolist(), strict=True):
-        own = bitmap_versions(f[a:b], e[a:b], v[a:b])
-        out += own
-        counts.append(len(own))
-    items = pa.StructArray.from_arrays(
-        [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["v", "f", "e"]
-    )
+    f, e = (s.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    code = s.field(2).dictionary_encode()
+    entity, value, a, b = bitmap_versions(np.repeat(np.arange(len(rows)), np.diff(at)), f, e, code.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    items = pa.StructArray.from_arrays([code.dictionary.take(pa.array(value)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["v", "f", "e"])
+    counts = np.bincount(entity, minlength=len(rows))
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), items)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -97,8 +98,37 @@ def test_versions_against_brute_force(spark):
         assert {tuple(r)[:5] for r in h.collect()} == brute_versions(rows)
 
 
+def versions_of(rows):
+    """bitmap_versions of (entity, value, from, to) rows, as tuples in order."""
+    e, v, f, t = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    return sorted(zip(*(x.tolist() for x in bitmap_versions(e, f, t, v)), strict=True))
+
+
 def test_value_that_comes_back_has_two_versions():
-    assert sorted(bitmap_versions([0, 10], [30, 20], ["P", "Q"])) == [("P", 0, 10), ("P", 20, 30), ("Q", 10, 20)]
+    assert versions_of([(0, 7, 0, 30), (0, 8, 10, 20)]) == [(0, 7, 0, 10), (0, 7, 20, 30), (0, 8, 10, 20)]
+
+
+def test_versions_of_many_snapshots_over_word_borders():
+    r = random.Random(8)
+    rows = []
+    for entity in range(6):
+        starts = r.sample(range(-500, 3000), (1, 40, 64, 65, 200, 300)[entity])
+        rows += [(entity, r.randrange(4), a, a + r.choice([1, 5, 90, 2_900_000])) for a in starts]
+    want = []
+    for entity in range(6):
+        own = [x for x in rows if x[0] == entity]
+        days = sorted({d for x in own for d in x[2:]})
+        held = None
+        for a, b in zip(days, days[1:], strict=False):
+            on = max((x for x in own if x[2] <= a and x[3] >= b), key=lambda x: x[2], default=None)
+            if on and held and held[1] == on[1] and held[3] == a:
+                held[3] = b
+            else:
+                want += [tuple(held)] if held else []
+                held = [entity, on[1], a, b] if on else None
+        want += [tuple(held)] if held else []
+    r.shuffle(rows)
+    assert versions_of(rows) == sorted(want)
 
 
 def test_tie_on_start_takes_the_later_end(spark):
