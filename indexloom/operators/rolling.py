@@ -20,33 +20,42 @@ def daily_totals(rows: DataFrame, *, entity: str, day: str, amount: Column, pref
     return g.select(F.col("e").alias("entity"), F.col("d").alias("day"), F.coalesce(F.col("s.a"), F.lit(0.0)).alias("amount"))
 
 
-def entity_calendar(totals: DataFrame) -> DataFrame:
-    """Every day from an entity's first to its last total: (entity, day)."""
-    span = totals.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    return span.select("entity", F.explode(F.sequence("a", "b")).alias("day"))
+def entity_calendar(totals: DataFrame, tail_days: int = 0) -> DataFrame:
+    """The span of days from an entity's first total to ``tail_days`` after its last: (entity, first, last)."""
+    return totals.groupBy("entity").agg(F.min("day").alias("first"), F.date_add(F.max("day"), tail_days).alias("last"))
 
 
 def trailing(calendar: DataFrame, totals: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """For each distinct (entity, day) of ``calendar`` the totals of the trailing ``windows`` days.
+    """For each (entity, day) of ``calendar`` the totals of the trailing ``windows`` days.
 
-    Range join on coarse date buckets: a bucket is as long as the longest window, so a trailing
-    range touches its own bucket and the one before. Both sides meet on (entity, bucket) only,
-    which also spreads a busy entity over its buckets, and candidates outside the range are
-    filtered before the sums. Columns: entity, day, ``total_w`` and ``average_w`` (total over w
+    ``calendar`` holds days (entity, day) or spans of days (entity, first, last), which must not
+    overlap within an entity. Columns: entity, day, ``total_w`` and ``average_w`` (total over w
     days) for each window w, and ``active_w``, the days with a total. Days without totals give 0.
 
-    ``calendar`` rows without entity or day are left out; repeated ones count once.
+    Range join on coarse date buckets, twice as long as the longest window: spans are cut at the
+    borders of buckets, a total goes to its own bucket and, if a trailing range of the next one
+    can hold it, to that as well. Both sides meet on (entity, bucket), which also spreads a busy
+    entity over its buckets; the range is a condition of the join, and the days of a span are only
+    written out there, one per day and total within its bounds, and summed without a further
+    exchange.
+
+    Calendar rows without entity or day are left out; repeated ones count once.
     """
-    width = max(windows)
-    bucket = F.floor(F.datediff(F.col("day"), F.lit("1970-01-01")) / width).cast("int")
-    cal = calendar.select("entity", "day").dropna().distinct().withColumn("b", bucket)
-    left = cal.withColumn("b", F.explode(F.array(F.col("b"), F.col("b") - 1)))
-    right = totals.select("entity", F.col("day").alias("x"), "amount", bucket.alias("b"))
-    ago = F.datediff(F.col("day"), F.col("x"))
-    hit = left.join(right, ["entity", "b"], "left")
-    inside = lambda w: (ago >= 0) & (ago < w)
-    g = hit.groupBy("entity", "day").agg(
-        *[F.sum(F.when(inside(w), F.col("amount"))).alias(f"s{w}") for w in windows], *[F.count_if(inside(w)).alias(f"active_{w}") for w in windows]
-    )
-    total = {w: F.coalesce(F.col(f"s{w}"), F.lit(0.0)) for w in windows}
-    return g.select("entity", "day", *[total[w].alias(f"total_{w}") for w in windows], *[(total[w] / w).alias(f"average_{w}") for w in windows], *[f"active_{w}" for w in windows])
+    w = max(windows)
+    width = 2 * w
+    span = calendar.select("entity", F.unix_date("day").alias("f"), F.unix_date("day").alias("l")) if "day" in calendar.columns else calendar.select("entity", F.unix_date("first").alias("f"), F.unix_date("last").alias("l"))
+    bucket = lambda c: F.floor(c / width).cast("int")
+    chunk = span.dropna().distinct().withColumn("b", F.explode(F.sequence(bucket(F.col("f")), bucket(F.col("l")))))
+    chunk = chunk.select("entity", "b", F.greatest("f", F.col("b") * width).alias("f"), F.least("l", F.col("b") * width + (width - 1)).alias("l"))
+    x = F.unix_date("day")
+    part = totals.select(F.col("entity").alias("e"), x.alias("x"), "amount", F.explode(F.sequence(bucket(x), bucket(x + (w - 1)))).alias("c"))
+    # a chunk meets its totals once, and once nothing (``idle``): that row writes out all its days
+    tasks = int(calendar.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # chunks are few and short but become many days: AQE must not merge their tasks
+    both = chunk.repartition(tasks, "entity", "b").withColumn("idle", F.explode(F.array(F.lit(True), F.lit(False))))
+    meets = (F.col("entity") == F.col("e")) & (F.col("b") == F.col("c")) & ~F.col("idle") & (F.col("x") <= F.col("l")) & (F.col("x") > F.col("f") - w)
+    days = F.when(F.col("idle"), F.sequence("f", "l")).when(F.col("x").isNotNull(), F.sequence(F.greatest("f", "x"), F.least("l", F.col("x") + (w - 1))))
+    hit = both.join(part, meets, "left").select("entity", "b", "x", "amount", F.explode(days).alias("d"))
+    inside = lambda n: F.col("d") - F.col("x") < n
+    g = hit.groupBy("entity", "b", "d").agg(*[F.sum(F.when(inside(n), F.col("amount"))).alias(f"s{n}") for n in windows], *[F.count_if(inside(n)).alias(f"active_{n}") for n in windows])
+    total = {n: F.coalesce(F.col(f"s{n}"), F.lit(0.0)) for n in windows}
+    return g.select("entity", F.date_from_unix_date("d").alias("day"), *[total[n].alias(f"total_{n}") for n in windows], *[(total[n] / n).alias(f"average_{n}") for n in windows], *[f"active_{n}" for n in windows])

@@ -234,9 +234,9 @@ def _traded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Traded value of every listing and calendar day over the trailing 7 and 30 days."""
+    """Traded value of every listing and calendar day over the trailing 7 and 30 days, from its first day to the last on which a window still holds its last trade."""
     t = _traded(spark, d)
-    x = trailing(entity_calendar(t), t, WINDOWS)
+    x = trailing(entity_calendar(t, tail_days=max(WINDOWS) - 1), t, WINDOWS)
     return x.select(
         F.col("entity").alias("listing_id"), _text("day").alias("day"), *[F.round(f"{n}_{w}", r).alias(f"{n}_{w}") for w in WINDOWS for n, r in (("total", 6), ("average", 6))], "active_7", "active_30"
     )
@@ -257,7 +257,7 @@ WITH t AS (SELECT listing_id, date, CASE WHEN close > 0 AND isfinite(close) THEN
 SQL["p6_rolling"] = (
     _P6_SQL
     + """, s AS (SELECT listing_id, min(date) AS f, max(date) AS e FROM t GROUP BY 1),
-c AS (SELECT listing_id, unnest(generate_series(f, e, INTERVAL 1 DAY))::DATE AS day FROM s),
+c AS (SELECT listing_id, unnest(generate_series(f, e + 29, INTERVAL 1 DAY))::DATE AS day FROM s),
 x AS (SELECT c.listing_id, c.day, t.a, t.date IS NOT NULL AS traded FROM c LEFT JOIN t ON t.listing_id = c.listing_id AND t.date = c.day)
 SELECT listing_id, strftime(day, '%Y-%m-%d') AS day,
        round(coalesce(sum(a) OVER w7, 0), 6) AS total_7, round(coalesce(sum(a) OVER w7, 0) / 7, 6) AS average_7,

@@ -41,6 +41,24 @@ def test_trailing_against_brute_force(spark):
             assert abs(g[f"total_{w}"] - want) < 1e-9 and abs(g[f"average_{w}"] - want / w) < 1e-9 and g[f"active_{w}"] == len(inside)
 
 
+def test_calendar_goes_on_while_a_window_holds_the_last_total(spark):
+    t = totals(spark, [("a", D(2022, 1, 1), 2.0, 3.0, None, 0.0, 0), ("a", D(2022, 3, 1), 1.0, 1.0, None, 0.0, 0)])
+    got = {r["day"]: (r["total_7"], r["total_30"]) for r in trailing(entity_calendar(t, tail_days=29), t, [7, 30]).collect()}
+    assert len(got) == 60 + 29 and max(got) == D(2022, 3, 30)
+    assert got[D(2022, 3, 30)] == (0.0, 1.0) and got[D(2022, 3, 7)] == (1.0, 1.0) and got[D(2022, 3, 8)] == (0.0, 1.0) and got[D(2022, 1, 31)] == (0.0, 0.0)
+
+
+def test_spans_over_bucket_borders_repeated_rows_and_busy_entities(spark):
+    r = random.Random(2)
+    days = sorted({D(2020, 1, 1) + dt.timedelta(r.randrange(700)) for _ in range(300)})
+    t = totals(spark, [("a", d, 1.0, float(i + 1), None, 0.0, 0) for i, d in enumerate(days)])
+    cal = spark.createDataFrame([("a", D(2020, 1, 1), D(2022, 3, 1)), ("a", D(2020, 1, 1), D(2022, 3, 1)), ("b", D(2020, 5, 1), D(2020, 5, 3)), ("a", None, None)], "entity string, first date, last date")
+    got = {(x["entity"], x["day"]): (x["total_7"], x["total_30"]) for x in trailing(cal, t, [7, 30]).collect()}
+    assert len(got) == (D(2022, 3, 1) - D(2020, 1, 1)).days + 1 + 3
+    for (e, day), sums in got.items():
+        assert sums == tuple(sum(i + 1.0 for i, d in enumerate(days) if e == "a" and 0 <= (day - d).days < w) for w in (7, 30))
+
+
 def test_asked_days_without_any_total_give_zero(spark):
     t = totals(spark, [("a", D(2022, 1, 1), 2.0, 3.0, None, 0.0, 0)])
     cal = spark.createDataFrame([("a", D(2022, 1, 7)), ("a", D(2022, 1, 8)), ("z", D(2022, 1, 1)), ("a", None)], "entity string, day date")
