@@ -8,7 +8,8 @@ shortest literal is longest becomes the pattern's cue, so the filter can save wo
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from re import _constants as C
 from re import _parser
 
@@ -20,6 +21,7 @@ BEGIN, END, FIRST, EDGE = "\0", "\1", "\2", "\3"
 MOST = 400
 #: Characters that match i or s without case though they are not so in lower case.
 ODD = ["ı", "ſ", "i̇"]
+_FEED = re.compile("\n")
 
 
 def _word(c: str) -> bool:
@@ -155,36 +157,66 @@ def cues_of(pattern: str) -> tuple[set[str], bool]:
     return out, best[1]
 
 
-def _finder(cues: set[str]) -> Callable[[str], bool]:
-    if not cues:
-        return lambda _: False
-    a, plain = ahocorasick.Automaton(), {}
-    for c in cues:
-        plain.setdefault(_bare(c), set()).add((c[0] if c[0] in (BEGIN, FIRST) else "", c[-1] == END))
-    for bare, marks in plain.items():
-        a.add_word(bare, None if ("", False) in marks else (len(bare), tuple(marks)))
-    a.make_automaton()
-
-    def found(line: str) -> bool:
-        for end, x in a.iter(line):
-            if x is None:
-                return True
-            at, after = end + 1 - x[0], line[end + 1 : end + 2]
-            for begin, ends in x[1]:
+class _Finder:
+    """An automaton over cues with their marks, each of which stands for some bits."""
+
+    def __init__(self, cues: Mapping[str, int]):
+        plain: dict[str, dict] = {}
+        for c, bits in cues.items():
+            marks = plain.setdefault(_bare(c), {})
+            m = c[0] if c[0] in (BEGIN, FIRST) else "", c[-1] == END
+            marks[m] = marks.get(m, 0) | bits
+        self.automaton = ahocorasick.Automaton() if plain else None
+        for bare, marks in plain.items():
+            self.automaton.add_word(bare, (len(bare), tuple((*m, bits) for m, bits in marks.items())))
+        if plain:
+            self.automaton.make_automaton()
+
+    def ends(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where cues end whose marks hold, with their bits; the lines of the text are told apart by line feeds."""
+        for end, (length, marks) in self.automaton.iter(text) if self.automaton else ():
+            at, after, found = end + 1 - length, text[end + 1 : end + 2], 0
+            for begin, ends, bits in marks:
                 if ends and after and _word(after):
                     continue
-                if not begin or not at or (not _word(line[at - 1]) if begin == BEGIN else line[:at].isspace()):
-                    return True
-        return False
-
-    return found
-
-
-def prefilter(patterns: Sequence[str]) -> Callable[[str], bool]:
-    """Whether any of the patterns can match a line; false only where none does."""
-    written, lower = set(), set(ODD)
-    for p in patterns:
-        cues, fold = cues_of(p)
-        (lower if fold else written).update(cues)
-    as_written, in_lower = _finder(written), _finder(lower)
-    return lambda line: as_written(line) or in_lower(line.lower())
+                if not begin or not at or (not _word(text[at - 1]) if begin == BEGIN else not text[text.rfind("\n", 0, at) + 1 : at].strip()):
+                    found |= bits
+            if found:
+                yield end, found
+
+
+class Prefilter:
+    """For groups of patterns, each with a bit: which groups can match a line. A group that is not named matches none."""
+
+    def __init__(self, groups: Mapping[int, Sequence[str]]):
+        written: dict[str, int] = {}
+        lower = dict.fromkeys(ODD, sum(groups))
+        for bit, patterns in groups.items():
+            for p in patterns:
+                cues, fold = cues_of(p)
+                to = lower if fold else written
+                for c in cues:
+                    to[c] = to.get(c, 0) | bit
+        self.as_written, self.in_lower = _Finder(written), _Finder(lower)
+
+    def __call__(self, line: str) -> int:
+        found = 0
+        for finder, x in ((self.as_written, line), (self.in_lower, line.lower())):
+            for _, bits in finder.ends(x):
+                found |= bits
+        return found
+
+    def lines(self, text: str, low: str) -> dict[int, int]:
+        """The numbers of the lines of a text, given as it is and in lower case, that may match, with the bits of what may."""
+        found: dict[int, int] = {}
+        for finder, x in ((self.as_written, text), (self.in_lower, low)):
+            starts: list[int] = []
+            for end, bits in finder.ends(x):
+                starts = starts or [0, *(m.end() for m in _FEED.finditer(x))]
+                i = bisect_right(starts, end) - 1
+                found[i] = found.get(i, 0) | bits
+        return found
+
+
+def prefilter(patterns: Sequence[str]) -> Prefilter:
+    return Prefilter({1: patterns})

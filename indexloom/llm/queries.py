@@ -51,7 +51,7 @@ def p9_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue(table(spark, d, "documents")).where("is_residue").select("doc_id").distinct()
+    return residue(table(spark, d, "documents"), only_suspects=True).where("is_residue").select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p7_pack, p7_fill, p8_mix, p8_shares, p9_lines, p9_found)}

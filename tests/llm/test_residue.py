@@ -165,10 +165,70 @@ def test_documents_copies_blank_null_and_long(spark):
 def test_recurrent_boilerplate_is_subtracted_per_host(spark):
     foot = "Cookies | Imprint"
     rows = [(i, f"Notice {i} on volume number {i} of company{chr(97 + i % 26)}{chr(97 + i // 26)}.\n{foot}", "wire") for i in range(40)] + [(100, foot, "wire"), (101, "Loading\nReload", "wire"), (102, foot, "other")]
-    got = run(spark, rows, min_documents=20, share=0.1)
+    got = run(spark, rows, min_texts=20, share=0.1)
     assert got[0]["n_boilerplate"] == 1 and not got[0]["is_residue"]
     assert not got[100]["is_residue"] and got[101]["is_residue"] and got[102]["is_residue"]
 
 
+# Messages of well-known servers, sites and editors, in their own words.
+PUBLIC = {
+    "error": ["404 Not Found", "HTTP 404 - File not found", "Not Found", "Not Found. The requested URL was not found on this server.", "The requested URL was not found on this server.", "403 Forbidden", "HTTP/1.1 502 Bad Gateway", "429 Too Many Requests", "HTTP Error 503. The service is unavailable.", "410 Gone",
+              "Access to this page has been denied", "Error establishing a database connection", "Your session has expired.", "Internal Server Error", "504 Gateway Time-out", "Sorry, the page you are looking for could not be found.", "Sorry, this page isn't available.", "This site can’t be reached", "Fatal error: Uncaught Error",
+              "Traceback (most recent call last):", "Unauthorized", "405 Method Not Allowed", "Oops! That page can’t be found."],
+    "script": ["Please enable JS and disable any ad blocker", "Checking your browser before accessing the site.", "Please verify you are a human", "Bitte schalten Sie JavaScript ein", "Ce site requiert JavaScript", "You need to enable JavaScript to run this app.", "This website uses features that require you to turn on cookies",
+               "Verifying you are human. This may take a few seconds.", "Habilite JavaScript para continuar", "Activez JavaScript dans votre navigateur", "JavaScript muss aktiviert sein"],
+    "placeholder": ["Dear [First Name],", "[company name]", "Hello %(name)s", "Dear $CLIENT_NAME,", "Hello {{ user.first_name }}!", "[Your Name Here]", "Sincerely, [Your Title]", "%1$s has sent you a file", "Hi {firstName}", "<%= user.name %>"],
+    "filler": ["Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium", "Lorem ipsum dolor sit amet", "At vero eos et accusamus et iusto odio dignissimos ducimus", "Nemo enim ipsam voluptatem quia voluptas sit aspernatur", "Your text goes here"],
+}
+
+
+@pytest.mark.parametrize("line, reason", [(x, r) for r, xs in PUBLIC.items() for x in xs])
+def test_public_messages(line, reason):
+    assert bits(line) & BITS[reason]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["The request was denied by the regulator on 3 May.", "The agreement has expired.", "The account was not found in the register of 2021.", "Cookies and biscuits sold 4% more.", "The service is unavailable on public holidays, as the rule book says.", "The company name changed in 2022.", "Price (USD) and volume", "The page count was 404 in the printed edition.",
+     "La enmienda requiere la firma de ambas partes.", "Sit down and be patient.", "It needs a script for the opera.", "Conflict of interest rules apply.", "The doors were locked.", "The human resources desk was told.", "Error rates fell to 2% in May."],
+)
+def test_plain_prose_is_no_evidence(line):
+    assert not bits(line) & (BITS["weak"] - 1)
+
+
+def test_the_whole_text_pass_flags_what_the_lines_do():
+    lines = [x for xs in PUBLIC.values() for x in xs] + EVIDENCE + ["All is well.", "bla bla", "Ünïcode İ ſ and ı.", "No evidence here"]
+    r = random.Random(3)
+    for _ in range(20):
+        r.shuffle(lines)
+        text = "\n".join(lines)
+        norm, flags = module.lines_and_flags(text)
+        own = lines_of(text)
+        assert [bits(x) for x in own] == flags and len(norm) == len(own)
+
+
+def test_a_footer_on_every_page_of_a_host_is_subtracted_with_its_evidence(spark):
+    foot = "<noscript>Please enable JavaScript to view this site.</noscript>"
+    rows = [(i, f"Notice of company {chr(97 + i % 26)}{chr(97 + i // 26)} on its dividend.\n{foot}", "wire") for i in range(60)]
+    rows += [(100, "Dear {{name}},\n" + foot, "wire"), (200, "Notice of company zz.\n" + foot, "memo"), (201, "All is well.", "memo"), (202, foot, "memo")]
+    got = run(spark, rows)
+    assert {k for k, r in got.items() if r["is_residue"]} == {100, 200, 202}
+    assert got[0]["n_boilerplate"] == got[0]["n_lines"] - 1
+
+
+def test_copies_of_one_text_are_no_boilerplate(spark):
+    rows = [(i, "Please enable JavaScript to view this page.", "wire") for i in range(50)] + [(100 + i, f"Text {chr(97 + i)} of its own.", "wire") for i in range(20)]
+    got = run(spark, rows)
+    assert {k for k, r in got.items() if r["is_residue"]} == set(range(50))
+
+
+def test_only_suspects_and_a_shuffled_join_give_the_same_verdicts(spark, monkeypatch):
+    rows = [(i, f"Text {chr(97 + i)}.\nFooter of all.\n" + ("Dear {{name}}," if i % 3 == 0 else "Reload"), "wire") for i in range(20)]
+    want = {k: r["is_residue"] for k, r in run(spark, rows).items()}
+    assert {k for k, r in run(spark, rows, only_suspects=True).items() if r["is_residue"]} == {k for k, v in want.items() if v}
+    monkeypatch.setattr(module, "BROADCAST_LINES", 0)
+    assert {k: r["is_residue"] for k, r in run(spark, rows).items()} == want
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
