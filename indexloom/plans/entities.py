@@ -134,13 +134,20 @@ def master_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(CAST(json_extract_string(payload, '$.amount') AS DOUBLE)), 6) AS mean_amount, round(avg(CAST(json_extract_string(payload, '$.ratio') AS DOUBLE)), 6) AS mean_ratio,
-CAST(CASE event_type WHEN 'SPLIT' THEN 10 WHEN 'REVERSE_SPLIT' THEN 10 WHEN 'CASH_DIVIDEND' THEN 30 WHEN 'SPECIAL_DIVIDEND' THEN 32 WHEN 'FLOAT_CHANGE' THEN 52 ELSE 50 END AS INT) AS apply_order FROM corp_actions WHERE ex_date IS NOT NULL AND event_type IN ('SPLIT', 'REVERSE_SPLIT', 'CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'FLOAT_CHANGE') GROUP BY event_type""")
+CAST(CASE event_type WHEN 'CASH_DIVIDEND' THEN 10 WHEN 'SPECIAL_DIVIDEND' THEN 11 WHEN 'RETURN_OF_CAPITAL' THEN 12 WHEN 'SPLIT' THEN 20 WHEN 'REVERSE_SPLIT' THEN 20 WHEN 'BONUS_ISSUE' THEN 21 WHEN 'RIGHTS_ISSUE' THEN 30 WHEN 'SPINOFF' THEN 40 WHEN 'FLOAT_CHANGE' THEN 51 WHEN 'MERGER_STOCK' THEN 60 WHEN 'MERGER_CASH' THEN 61 WHEN 'DELISTING' THEN 62 ELSE 50 END AS INT) AS apply_order FROM corp_actions WHERE ex_date IS NOT NULL AND event_type IN ('SPLIT', 'REVERSE_SPLIT', 'CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'FLOAT_CHANGE') GROUP BY event_type""")
 def events_parsed(spark: SparkSession, d: str) -> DataFrame:
     e = events.parse(table(spark, d, "corp_actions")).where("reason IS NULL")
     return e.groupBy("event_type", "apply_order").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p.amount"), 6).alias("mean_amount"), F.round(F.avg("p.ratio"), 6).alias("mean_ratio"))
 
 
-@query("""SELECT CASE WHEN ex_date IS NULL THEN 'no_ex_date' ELSE 'ok' END AS reason, event_type, count(*) AS n FROM corp_actions GROUP BY ALL""")
+@query("""WITH j AS (SELECT event_type, ex_date, json_valid(payload) AS valid, TRY_CAST(payload AS JSON) AS p FROM corp_actions),
+f AS (SELECT *, TRY_CAST(p->>'amount' AS DOUBLE) AS amount, p->>'currency' AS currency, TRY_CAST(p->>'ratio' AS DOUBLE) AS ratio, TRY_CAST(p->>'new_float' AS DOUBLE) AS new_float, TRY_CAST(p->>'old_float' AS DOUBLE) AS old_float FROM j)
+SELECT CASE WHEN event_type IS NULL OR event_type NOT IN ('CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'RETURN_OF_CAPITAL', 'SPLIT', 'REVERSE_SPLIT', 'BONUS_ISSUE', 'RIGHTS_ISSUE', 'SPINOFF', 'SHARES_CHANGE', 'FLOAT_CHANGE', 'MERGER_STOCK', 'MERGER_CASH', 'DELISTING') THEN 'unknown_type'
+WHEN valid IS NOT TRUE THEN 'bad_json' WHEN ex_date IS NULL THEN 'no_ex_date'
+WHEN event_type IN ('CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'RETURN_OF_CAPITAL') AND amount IS NULL THEN 'missing:amount' WHEN event_type IN ('CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'RETURN_OF_CAPITAL') AND currency IS NULL THEN 'missing:currency'
+WHEN event_type IN ('SPLIT', 'REVERSE_SPLIT', 'BONUS_ISSUE') AND ratio IS NULL THEN 'missing:ratio' WHEN event_type = 'FLOAT_CHANGE' AND new_float IS NULL THEN 'missing:new_float' WHEN event_type = 'FLOAT_CHANGE' AND old_float IS NULL THEN 'missing:old_float'
+WHEN event_type IN ('CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'RETURN_OF_CAPITAL') AND amount <= 0 THEN 'not_positive:amount' WHEN event_type IN ('SPLIT', 'REVERSE_SPLIT', 'BONUS_ISSUE') AND ratio <= 0 THEN 'not_positive:ratio'
+ELSE 'ok' END AS reason, event_type, count(*) AS n FROM f GROUP BY ALL""")
 def events_quarantined(spark: SparkSession, d: str) -> DataFrame:
     return events.parse(table(spark, d, "corp_actions")).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -153,6 +160,18 @@ def special_dividends(spark: SparkSession, d: str) -> DataFrame:
     return events.special_as_capital(e, p).select("event_id", "amount", "cum_price", "kind")
 
 
+@query(f"""WITH {CLEAN}, s AS (SELECT security_id, date, max(close) AS close FROM cp GROUP BY ALL), e AS (SELECT event_id, event_type, security_id, ex_date, CAST(payload->>'amount' AS DOUBLE) AS amount, CAST(payload->>'ratio' AS DOUBLE) AS ratio, CAST(payload->>'new_float' AS DOUBLE) AS nf FROM corp_actions WHERE ex_date IS NOT NULL AND security_id IS NOT NULL AND event_type IN ('CASH_DIVIDEND', 'SPECIAL_DIVIDEND', 'RETURN_OF_CAPITAL', 'SPLIT', 'REVERSE_SPLIT', 'BONUS_ISSUE', 'FLOAT_CHANGE')),
+x AS (SELECT e.*, s.close FROM e ASOF LEFT JOIN s ON e.security_id = s.security_id AND e.ex_date > s.date),
+y AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN close / ratio WHEN amount IS NOT NULL THEN greatest(close - amount, 0) ELSE close END AS price_after, coalesce(ratio, 1) AS shares_after, coalesce(nf, 1) AS float_after FROM x)
+SELECT event_id, event_type, strftime(ex_date, '%Y-%m-%d') AS ex_date, close, round(CASE WHEN close IS NOT NULL THEN price_after END, 6) AS price_after, shares_after, float_after, round(CASE WHEN close IS NOT NULL THEN price_after * shares_after / nullif(close, 0) END, 8) AS value_factor FROM y""")
+def event_effects(spark: SparkSession, d: str) -> DataFrame:
+    """What every event that can be built does to price, shares and float of one share held."""
+    e = events.parse(table(spark, d, "corp_actions")).where("reason IS NULL AND security_id IS NOT NULL")
+    p = clean_prices(spark, d).where("security_id IS NOT NULL").groupBy("security_id", "date").agg(F.max("close").alias("close"))
+    x = events.effects(events.cum_prices(e, p))
+    return x.select("event_id", "event_type", text_day("ex_date").alias("ex_date"), "close", F.round("price_after", 6).alias("price_after"), "shares_after", "float_after", F.round("value_factor", 8).alias("value_factor"))
+
+
 # -- quality
 
 
