@@ -9,8 +9,8 @@ state per task.
 
 A period's schedule is the same for all: its end, then a batch every ``batch_days``, the last of
 which is the cut-off. Between two of them lies one *turn*; a record belongs to the turn in which
-it becomes known. :func:`layers` builds both layers over those
-turns, :func:`lambda_views` serves them; ``streaming.lambda_store`` keeps them in a folder.
+it becomes known. :func:`fast_layer` and :func:`batch_layer` are the layers over those turns and
+:func:`lambda_views` serves them; ``streaming.lambda_store`` keeps them in a folder.
 """
 
 from __future__ import annotations
@@ -54,18 +54,15 @@ def with_turn(log: DataFrame, runs: Sequence[int]) -> DataFrame:
     return log.withColumn("turn", turn)
 
 
-def layers(log: DataFrame, keys: Sequence[str], runs: Sequence[int]) -> DataFrame:
-    """Both layers' states per (key, period): ``layer`` (0 fast, 1 batch), ``turn``, ``s``, ``n`` records.
+def fast_layer(log: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Per (key, period) the increment of every turn: ``f0``.. ``fn``, the states of the records that arrived in it, and their counts ``n0``.. (one more past the cut-off)."""
+    arrived = lambda i: F.col("turn") == i
+    return log.groupBy(*keys, "p").agg(*[state(arrived(i)).alias(f"f{i}") for i in range(n + 1)], *[F.count_if(arrived(i)).alias(f"n{i}") for i in range(n + 2)])
 
-    The fast layer holds one increment per turn: the state of the records that arrived in it. The
-    batch of turn i is recomputed from the full log as it is then, not from increments: every
-    record that is known reaches it, in whatever order it came. One exchange serves both.
-    """
-    seen = F.sequence(F.greatest(F.col("turn"), F.lit(1)), F.lit(len(runs)))
-    by_batch = F.when(F.col("turn") <= len(runs), F.transform(seen, lambda i: F.struct(F.lit(1).alias("layer"), i.alias("turn")))).otherwise(F.array().cast("array<struct<layer:int,turn:int>>"))
-    to = F.concat(F.array(F.struct(F.lit(0).alias("layer"), F.col("turn"))), by_batch)
-    x = log.select(*keys, "p", "t", "k", "v", F.explode(to).alias("to"))
-    return x.groupBy(*keys, "p", F.col("to.layer").alias("layer"), F.col("to.turn").alias("turn")).agg(state().alias("s"), F.count(F.lit(1)).alias("n"))
+
+def batch_layer(log: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Per (key, period) the figure of every scheduled batch, ``b1``.. ``bn``, each recomputed from the full log as it is then and not from increments."""
+    return log.groupBy(*keys, "p").agg(*[state(F.col("turn") <= i).alias(f"b{i}") for i in range(1, n + 1)])
 
 
 def lambda_views(log: DataFrame, *, entity: Sequence[str], event_time: str, known_time: str, value: str, lateness_days: int = 45, batch_days: int = 15) -> DataFrame:
@@ -85,18 +82,10 @@ def lambda_views(log: DataFrame, *, entity: Sequence[str], event_time: str, know
     """
     runs = schedule(lateness_days, batch_days)
     e = [f"e{i}" for i in range(len(entity))]
-    parts = layers(with_turn(usable(log, entity, event_time, known_time, value), runs), e, runs)
-    fast = lambda i: F.max(F.when((F.col("layer") == 0) & (F.col("turn") == i), F.col("s")))
-    batch = lambda i: F.max(F.when((F.col("layer") == 1) & (F.col("turn") == i), F.col("s")))
-    arrived = lambda c: F.coalesce(F.sum(F.when((F.col("layer") == 0) & c, F.col("n"))), F.lit(0))
     n = len(runs)
-    g = parts.groupBy(*e, "p").agg(
-        *[fast(i).alias(f"f{i}") for i in range(n + 1)],
-        *[batch(i).alias(f"b{i}") for i in range(1, n + 1)],
-        arrived(F.col("turn") == 0).alias("n_in_time"),
-        arrived((F.col("turn") > 0) & (F.col("turn") <= n)).alias("n_late"),
-        arrived(F.col("turn") > n).alias("n_cut_off"),
-    )
+    log = with_turn(usable(log, entity, event_time, known_time, value), runs)
+    # both layers are partitioned by key and period, so that serving them costs no exchange of its own
+    g = fast_layer(log, e, n).join(batch_layer(log, e, n), [*e, "p"])
     # the served view between two batches: the figure of the last one, or of the fast layer before any, with the increments since
     served = [F.greatest(F.col("f0") if i == 1 else F.col(f"b{i - 1}"), F.col(f"f{i}")) for i in range(1, n + 1)]
     return g.select(
@@ -106,7 +95,7 @@ def lambda_views(log: DataFrame, *, entity: Sequence[str], event_time: str, know
         F.array(*[s["v"] for s in served]).alias("before_batch"),
         F.array(*[F.col(f"b{i}.v") for i in range(1, n + 1)]).alias("batches"),
         F.col(f"b{n}.v").alias("final"),
-        "n_in_time",
-        "n_late",
-        "n_cut_off",
+        F.col("n0").alias("n_in_time"),
+        sum((F.col(f"n{i}") for i in range(1, n + 1)), F.lit(0)).alias("n_late"),
+        F.col(f"n{n + 1}").alias("n_cut_off"),
     )
