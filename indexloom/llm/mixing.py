@@ -17,12 +17,6 @@ from ..checkpoints import cut
 from .residue import host_of
 
 
-def quality(text: Column) -> Column:
-    """A plain quality weight in [0.1, 1]: the share of letters and blanks in a text."""
-    kept = F.length(F.regexp_replace(text, r"[^\p{L} ]", ""))
-    return F.greatest(F.lit(0.1), F.coalesce(F.try_divide(kept, F.length(text)), F.lit(0.1)))
-
-
 def unit(key: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on key and seed only."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 12) + F.lit(0.5)) / F.lit(float(1 << 52))

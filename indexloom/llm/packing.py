@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -121,6 +121,32 @@ def ranks_within(items: DataFrame, group: str, order: Sequence[str], shards: int
     return x.join(offsets, [group, "__shard"]).withColumn("rank", own + F.col("__before")).drop("__shard", "__before")
 
 
+#: Ranks of a length that share a join key with the slots planned for them.
+BLOCK = 4096
+
+
+def slot_blocks(spark: SparkSession, plan: Plan) -> DataFrame:
+    """The planned slots as a table to join documents with by ``length`` and ``block`` of rank: ranks ``from`` <= rank < ``to``, ``container`` of the first, items ``per`` container, ``offset``, ``capacity``.
+
+    A slot is cut where the capacity of its containers changes, and written out once per block of
+    ranks, by Spark and not by the driver, whose table has one row per entry of the plan.
+    """
+    slots = np.array(sorted(plan.slots), np.int64).reshape(-1, 6)
+    made = np.array(sorted(plan.containers), np.int64).reshape(-1, 4)
+    length, first, count, container, per, offset = slots.T
+    last = container + (count - 1) // per
+    a, b = np.searchsorted(made[:, 0], container, "right") - 1, np.searchsorted(made[:, 0], last, "right") - 1
+    row = np.repeat(np.arange(len(slots)), b - a + 1)
+    run = np.arange(len(row)) - np.repeat(np.cumsum(b - a + 1) - (b - a + 1), b - a + 1) + a[row]
+    start = np.maximum(container[row], made[run, 0])
+    end = np.minimum(last[row], made[run, 0] + made[run, 1] - 1)
+    begin = first[row] + (start - container[row]) * per[row]
+    to = np.minimum(first[row] + count[row], first[row] + (end + 1 - container[row]) * per[row])
+    t = pa.table({"length": length[row].astype(np.int32), "from": begin, "to": to, "container": start, "per": per[row], "offset": offset[row], "capacity": made[run, 2].astype(np.int32)})
+    blocks = F.sequence(F.floor(F.col("from") / BLOCK), F.floor((F.col("to") - 1) / BLOCK))
+    return spark.createDataFrame(t).withColumn("block", F.explode(blocks))
+
+
 def pack(sized: DataFrame, capacities: Mapping[str, int], *, key: str = "doc_id", size: str = "n_tokens", shards: int | None = None) -> DataFrame:
     """Every item with its container: ``key``, ``piece``, ``size``, ``first_token``, ``container_id``, ``pack_name``, ``capacity``, ``offset``.
 
@@ -148,21 +174,11 @@ def pack(sized: DataFrame, capacities: Mapping[str, int], *, key: str = "doc_id"
     plan = best_plan(counts, [c for c, _ in names])
     spark = sized.sparkSession
     shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = np.array(sorted(plan.slots), np.int64).reshape(-1, 6)
-    made = np.array(sorted(plan.containers), np.int64).reshape(-1, 4)
-    label = {c: n for c, n in names}
-
-    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        l, r = length.to_numpy().astype(np.int64), rank.to_numpy().astype(np.int64)
-        s = slots[np.searchsorted((slots[:, 0] << 40) + slots[:, 1], (l << 40) + r, "right") - 1]
-        i = r - s[:, 1]
-        container = s[:, 3] + i // s[:, 4]
-        capacity = made[np.searchsorted(made[:, 0], container, "right") - 1, 2]
-        return pa.StructArray.from_arrays([pa.array(container), pa.array(capacity.astype(np.int32)), pa.array((s[:, 5] + i % s[:, 4] * l).astype(np.int32))], names=["container", "capacity", "offset"])
-
-    x = ranks_within(items, "length", ["k", "piece"], shards).withColumn("at", F.arrow_udf(place, "struct<container:bigint,capacity:int,offset:int>")("length", "rank"))
-    by_name = F.create_map(*[F.lit(v) for c in label for v in (c, label[c])])
+    placed = ranks_within(items, "length", ["k", "piece"], shards).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    x = placed.join(slot_blocks(spark, plan), ["length", "block"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    i = F.col("rank") - F.col("from")
+    by_name = F.create_map(*[F.lit(v) for c, n in names for v in (c, n)])
     return x.select(
-        F.col("k").alias(key), "piece", F.col("length").alias(size), F.col("first").alias("first_token"), F.col("at.container").alias("container_id"),
-        by_name[F.col("at.capacity")].alias("pack_name"), F.col("at.capacity").alias("capacity"), F.col("at.offset").alias("offset"),
+        F.col("k").alias(key), "piece", F.col("length").alias(size), F.col("first").alias("first_token"), (F.col("container") + F.floor(i / F.col("per"))).alias("container_id"),
+        by_name[F.col("capacity")].alias("pack_name"), "capacity", (F.col("offset") + i % F.col("per") * F.col("length")).cast("int").alias("offset"),
     )

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .mixing import mix, quality
+from .mixing import mix
 from .packing import pack
 from .residue import residue
-from .tokens import n_tokens
+from .tokens import n_tokens, tokens_and_quality
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), quality(F.col("text")).alias("quality"))
+    docs = table(spark, d, "documents").select("doc_id", "source", tokens_and_quality(F.col("text")).alias("m")).select("doc_id", "source", F.col("m.n").alias("n_tokens"), "m.quality")
     return mix(docs, table(spark, d, "mix_targets"), weight="quality")
 
 

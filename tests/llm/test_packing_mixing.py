@@ -5,9 +5,12 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from indexloom.llm import packing
 from indexloom.llm.mixing import mix
 from indexloom.llm.packing import best_plan, pack, plan_best_fit, ranks_within
-from indexloom.llm.tokens import VOCABULARY, encoding, n_tokens
+from indexloom.llm.tokens import VOCABULARY, encoding, n_tokens, quality_of, tokens_and_quality
 
 SIZES = {"short": 8, "medium": 20, "long": 50}
 
@@ -79,6 +82,35 @@ def test_pack_places_every_item_once(spark):
         assert spans[-1][1] <= xs[0]["capacity"] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_slots_over_many_blocks_and_capacities(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    r = random.Random(9)
+    counts = {n: r.randrange(1, 90) for n in range(0, 51)}
+    plan = best_plan(counts, SIZES.values())
+    capacity = {c: cap for first, n, cap, _ in plan.containers for c in range(first, first + n)}
+    want = {(le, rank): (c, capacity[c], o) for c, o, le, rank in unfolded(plan, counts)}
+    got = {}
+    for x in packing.slot_blocks(spark, plan).collect():
+        for rank in range(max(x["from"], x["block"] * 8), min(x["to"], x["block"] * 8 + 8)):
+            assert (x["length"], rank) not in got
+            i = rank - x["from"]
+            got[x["length"], rank] = (x["container"] + i // x["per"], x["capacity"], x["offset"] + i % x["per"] * x["length"])
+    assert got == want
+
+
+def test_quality_prefers_prose_to_noise_and_repetition():
+    e = encoding(VOCABULARY)
+    q = lambda t: quality_of(len(t), e.encode_ordinary(t))
+    prose = "The committee met on Tuesday to discuss how the new rules affect small exporters, and it asked for comments by the end of the month."
+    assert q(prose) > 0.8 and q(prose) > q("the same " * 60) and q(prose) > q("7f 3a 9c 01 d4 " * 12) and q(prose) > q("Yes.") > q("") == 0.05
+    assert all(0.05 <= q(x) <= 1 for x in ("", "a", "é" * 5000, "0" * 9000, prose * 50))
+
+
+def test_tokens_and_quality_agree_with_the_count(spark):
+    df = spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "i int, t string").select("i", n_tokens("t").alias("n"), tokens_and_quality(F.col("t")).alias("m"))
+    assert {r["i"]: (r["n"], r["m"]["n"]) for r in df.collect()} == {1: (2, 2), 2: (0, 0), 3: (0, 0)}
+
+
 def test_pack_empty_and_no_sizes(spark):
     df = spark.createDataFrame([], "doc_id long, n_tokens int")
     assert pack(df, SIZES).count() == 0
