@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,35 @@ def compare_runs(golden: DataFrame, candidate: DataFrame, key: str, columns: Seq
     return x.select(key, status.alias("status"), *[b.alias(f"bps_{n}") for n, b in bps.items()], worst.alias("worst_bps"))
 
 
-def finding(df: DataFrame, rule: str, severity: str, bad: Column, key: Column) -> DataFrame:
-    """One row: rule, severity, passed, n_bad, n_rows, and up to five of the bad keys in order.
+#: A rule: name, severity, condition of a bad row.
+Rule = tuple[str, str, Column]
 
-    The sample is a bounded aggregate (five least keys), not a collected list.
+
+def findings(df: DataFrame, rules: Sequence[Rule], key: Column) -> DataFrame:
+    """One row per rule: rule, severity, passed, n_bad, n_rows, and up to five of the bad keys in order.
+
+    All rules of a table are checked in one pass. The sample is a bounded aggregate: bad keys are
+    reduced to the five least per rule and task, and then of those. An empty table passes.
     """
-    x = df.select(F.coalesce(bad, F.lit(False)).alias("__b"), key.cast("string").alias("__k"))
-    sample = x.where("__b").select("__k").distinct().orderBy("__k").limit(5).agg(F.array_join(F.array_sort(F.collect_list("__k")), ",").alias("s")).scalar()
-    n = x.agg(F.count_if("__b").alias("n_bad"), F.count(F.lit(1)).alias("n_rows"))
-    return n.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col("n_bad") == 0).alias("passed"), "n_bad", "n_rows", sample.alias("sample"))
+    bad = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(c, F.lit(False)).alias("b")) for i, (_, _, c) in enumerate(rules)])
+    x = df.select(key.cast("string").alias("k"), F.explode(bad).alias("r")).select("k", "r.i", "r.b")
+    g = x.groupBy("i").agg(F.count_if("b").alias("n_bad"), F.count(F.lit(1)).alias("n_rows"), least_five(F.when(F.col("b"), F.col("k"))).alias("s"))
+    names = df.sparkSession.createDataFrame([(i, n, s) for i, (n, s, _) in enumerate(rules)], "i int, rule string, severity string")
+    g = names.join(g, "i", "left").withColumns({"n_bad": F.coalesce("n_bad", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0))})
+    return g.select("rule", "severity", (F.col("n_bad") == 0).alias("passed"), "n_bad", "n_rows", F.coalesce(F.array_join("s", ","), F.lit("")).alias("sample"))
+
+
+def least_five(key: Column) -> Column:
+    """The five least different values of a column, in order."""
+    return F.slice(F.array_sort(F.collect_set(key)), 1, 5)
+
+
+def guarded(name: str, check: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The findings of a check; one that cannot be run is itself a finding that blocks."""
+    try:
+        return check()
+    except Exception as e:  # noqa: BLE001
+        return spark.createDataFrame([(name, "BLOCK", False, 1, 0, type(e).__name__)], "rule string, severity string, passed boolean, n_bad bigint, n_rows bigint, sample string")
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

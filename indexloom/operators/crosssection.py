@@ -151,6 +151,58 @@ def cumulative_bands(df: DataFrame, group: Sequence[str], size: str, tie: str, c
     return x.unionByName(none).withColumn("band", band.otherwise(rest))
 
 
+def buffered_bands(df: DataFrame, group: Sequence[str], size: str, tie: str, cuts: Mapping[str, float], rest: str, previous: str, width: float) -> DataFrame:
+    """:func:`cumulative_bands` with a buffer for incumbents: ``hard`` is the band by the cuts, ``band`` the one given, with ``held`` and ``moved``.
+
+    A name whose ``previous`` band is next to its hard one keeps it while its cumulative share is
+    within ``width`` of the cut between the two, the border included. Without a previous band
+    nothing is held or moved.
+    """
+    names = [*cuts, rest]
+    x = cumulative_bands(df, group, size, tie, cuts, rest).withColumnRenamed("band", "hard")
+    held = F.lit(False)
+    for (cut, a), b in zip(zip(cuts.values(), names, strict=False), names[1:], strict=False):
+        pair = ((F.col(previous) == a) & (F.col("hard") == b)) | ((F.col(previous) == b) & (F.col("hard") == a))
+        held = held | (pair & (F.round(F.abs(F.col("cumulative") - cut), 12) <= width))
+    held = F.coalesce(held, F.lit(False))
+    x = x.withColumn("held", held).withColumn("band", F.when(F.col("held"), F.col(previous)).otherwise(F.col("hard")))
+    return x.withColumn("moved", F.coalesce(F.col("band") != F.col(previous), F.lit(False)))
+
+
+def band_summary(bands: DataFrame, group: Sequence[str], size: str) -> DataFrame:
+    """Per band: names, ``size``, its ``weight`` in the group, and how many moved or were held."""
+    g = bands.groupBy(*group, "band").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"), F.count_if("moved").alias("moved"), F.count_if("held").alias("held"))
+    return g.withColumn("weight", F.try_divide("size", F.nullif(F.sum("size").over(Window.partitionBy(*group)), F.lit(0.0))))
+
+
+def liquidity(rows: DataFrame, name: str, day: str, close: str, volume: str, paused: str, sessions: int) -> DataFrame:
+    """Per name over the market's last ``sessions`` sessions: ``traded`` (median traded value), ``n``, ``last_close``, ``paused``, ``vol`` (yearly, of log returns) and ``percentile`` of traded.
+
+    Sessions are the distinct days of the table, not calendar days. The percentile is the rank by
+    (traded, name) from 0 over n - 1.
+    """
+    last = rows.select(day).distinct().withColumn("r", F.row_number().over(Window.orderBy(F.desc(day)))).where(F.col("r") <= sessions).agg(F.min(day)).scalar()  # one row per day of the calendar
+    x = rows.where(F.col(day) >= last)
+    w = Window.partitionBy(name).orderBy(day)
+    x = x.withColumn("move", F.log(F.col(close) / F.lag(close).over(w)))
+    g = x.groupBy(name).agg(
+        F.median(F.col(close) * F.col(volume)).alias("traded"), F.count(F.lit(1)).alias("n"), F.max_by(close, day).alias("last_close"), F.coalesce(F.max_by(paused, day), F.lit(False)).alias("paused"), (F.stddev_samp("move") * 252**0.5).alias("vol")
+    )
+    all_ = Window.partitionBy(F.lit(0))
+    order = all_.orderBy(F.col("traded").asc_nulls_first(), name)  # one row per name
+    return g.withColumn("percentile", F.try_divide(F.row_number().over(order) - 1, F.nullif(F.count(F.lit(1)).over(all_) - 1, F.lit(0))))
+
+
+def pipeline(df: DataFrame, group: Sequence[str], category: str, value: str, weight: str) -> DataFrame:
+    """``df`` with ``score``: winsorised, standardised, neutralised to its category, standardised again, with the category's median for a missing value.
+
+    Every step is a window or a joined aggregate of the group, so a whole panel of days is one plan.
+    """
+    x = winsorise(df, group, value).withColumn("__z", zscore("winsorised", group, weight))
+    x = neutralise(x, group, category, "__z", weight).withColumn("__s", zscore("neutral", group))
+    return fill(x, group, "__s", "category", category).withColumnRenamed("filled", "score").drop("winsorised", "neutral", "__z", "__s")
+
+
 def ceiling_weights(df: DataFrame, group: Sequence[str], weight: str, ceiling: str, tie: str) -> DataFrame:
     """``df`` with ``limited`` and ``feasible``: weights scaled up in proportion until they meet their own ceilings.
 

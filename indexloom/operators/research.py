@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .crosssection import average_rank
@@ -44,6 +46,16 @@ def newey_west(df: DataFrame, order: str, value: str, lags: int) -> DataFrame:
     return g.select("n", "mean", F.sqrt(F.greatest(s / F.col("n"), F.lit(0.0)) / F.col("n")).alias("se"))
 
 
+def newey_west_by(df: DataFrame, group: str, order: str, value: str, lags: int) -> DataFrame:
+    """:func:`newey_west` for every group: one row per group with n, mean, se. Lagged products are windows over a group's periods."""
+    a, w = Window.partitionBy(group), Window.partitionBy(group).orderBy(order)
+    e = df.where(F.col(value).isNotNull()).select(group, order, F.col(value).alias("v")).withColumn("e", F.col("v") - F.avg("v").over(a))
+    e = e.select(group, "v", "e", *[F.lag("e", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
+    g = e.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.sum(F.col("e") * F.col("e")).alias("g0"), *[F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0)).alias(f"g{k}") for k in range(1, lags + 1)])
+    s = sum((2 * (1 - k / (lags + 1)) * F.col(f"g{k}") for k in range(1, lags + 1)), F.col("g0"))
+    return g.select(group, "n", "mean", F.sqrt(F.greatest(s / F.col("n"), F.lit(0.0)) / F.col("n")).alias("se"))
+
+
 def normal_two_sided(t: float) -> float:
     return math.erfc(abs(t) / math.sqrt(2))
 
@@ -61,30 +73,60 @@ def multiple_testing(tests: DataFrame, name: str, t: str, alpha: float) -> DataF
     return x.select(name, "p", "rank", (F.col("p") <= alpha / F.col("m")).alias("bonferroni"), F.coalesce(F.col("rank") <= last, F.lit(False)).alias("benjamini_hochberg"))
 
 
-def deflated_sharpe(observed: float, n_trials: int, n_observations: int, skewness: float = 0.0, kurtosis: float = 3.0) -> float:
-    """Probability that a Sharpe ratio per period beats the best of ``n_trials`` chance ones."""
+def deflated_sharpe(observed: float, n_trials: int, n_observations: int, skewness: float = 0.0, kurtosis: float = 3.0, benchmark: float = 0.0, trial_spread: float = 1.0) -> float:
+    """Probability that a Sharpe ratio beats ``benchmark`` and the best of ``n_trials`` chance ones.
+
+    ``trial_spread`` is the standard deviation of the trials' ratios, 1 if they are standardised.
+    For ratios per period it is about ``1 / sqrt(n_observations)``, as in the published form.
+    """
     from statistics import NormalDist
 
+    if n_trials < 1 or n_observations < 2:
+        raise ValueError("at least one trial and two observations")
     z, g = NormalDist().inv_cdf, 0.5772156649
-    best = 0.0 if n_trials < 2 else ((1 - g) * z(1 - 1 / n_trials) + g * z(1 - 1 / (n_trials * math.e))) / math.sqrt(n_observations)
-    sd = math.sqrt(max(1e-12, (1 - skewness * observed + (kurtosis - 1) / 4 * observed**2) / (n_observations - 1)))
-    return NormalDist().cdf((observed - best) / sd)
+    best = 0.0 if n_trials < 2 else trial_spread * ((1 - g) * z(1 - 1 / n_trials) + g * z(1 - 1 / (n_trials * math.e)))
+    spread = 1 - skewness * observed + (kurtosis - 1) / 4 * observed**2
+    return NormalDist().cdf((observed - max(benchmark, best)) * math.sqrt((n_observations - 1) / spread)) if spread > 0 else 0.0
 
 
-def hysteresis(df: DataFrame, key: str, day: str, value: str, threshold: float) -> DataFrame:
-    """``key``, ``day``, ``adopted``: a value is adopted only if it moved more than ``threshold`` from the one adopted last.
+def implied_breadth(ic: Column, target_ratio: float) -> Column:
+    """Independent bets that an information ratio needs at this coefficient."""
+    return (target_ratio / F.nullif(ic, F.lit(0.0))) ** 2
 
-    A fold over each key's values in order, as a higher-order aggregate inside the JVM; a key's
-    history is one value per day.
+
+def random_benchmark(df: DataFrame, day: str, forward: str, chance: Callable[[Column], Column], trials: int, least: int, target_ratio: float) -> DataFrame:
+    """What signals of chance reach: per ``trial`` the months, mean rank correlation with ``forward``, its t and the implied breadth.
+
+    ``chance`` makes the signal of a trial number from columns of ``df``; trials are rows, so all
+    of them are ranked in one plan.
     """
-    arr = F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v"))))
-    empty = F.struct(F.lit(None).cast("double").alias("held"), F.array().cast("array<struct<d:date,v:double>>").alias("out"))
+    x = df.where(F.col(forward).isNotNull()).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    x = x.withColumn("__r", chance(F.col("trial")))
+    x = x.select("trial", day, average_rank("__r", ["trial", day]).alias("a"), average_rank(forward, ["trial", day]).alias("b"))
+    c = x.groupBy("trial", day).agg(F.corr("a", "b").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    g = c.groupBy("trial").agg(F.count(F.lit(1)).alias("n_months"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd"))
+    return g.select("trial", "n_months", "mean_ic", (F.col("mean_ic") / F.nullif("sd", F.lit(0.0)) * F.sqrt("n_months")).alias("t"), implied_breadth(F.col("mean_ic"), target_ratio).alias("implied_breadth"))
+
 
-    def step(acc, x):
-        take = acc["held"].isNull() | (F.abs(x["v"] - acc["held"]) > threshold)
-        held = F.when(take, x["v"]).otherwise(acc["held"])
-        return F.struct(held.alias("held"), F.concat(acc["out"], F.array(F.struct(x["d"].alias("d"), held.alias("v")))).alias("out"))
+def hysteresis(df: DataFrame, key: str, day: str, value: str, threshold: float) -> DataFrame:
+    """``key``, ``day``, ``adopted``: a value is adopted only if it moved more than ``threshold`` from the one adopted last.
 
-    g = df.where(F.col(value).isNotNull()).groupBy(key).agg(arr.alias("a"))
-    x = g.select(key, F.explode(F.aggregate("a", empty, step, lambda a: a["out"])).alias("x"))
-    return x.select(key, F.col("x.d").alias(day), F.col("x.v").alias("adopted"))
+    What is adopted depends on all that was before, so a key's values are folded in order: numpy
+    over Arrow batches of whole keys, which arrive spread by key and sorted. A key has one value
+    per day, so its fold is bounded by the calendar. Null values are left out.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    x = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.to_date(day).alias("d"), F.col(value).cast("double").alias("v"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0.0
+        for b in batches:
+            out = []
+            for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True):
+                if k != last or abs(v - held) > threshold:
+                    last, held = k, v
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("d"), pa.array(out, pa.float64())], names=["k", "d", "adopted"])
+
+    y = x.repartition("k").sortWithinPartitions("k", "d").mapInArrow(fold, f"k {kind}, d date, adopted double")
+    return y.select(F.col("k").alias(key), F.col("d").alias(day), "adopted")

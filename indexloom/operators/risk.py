@@ -11,8 +11,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ASSETS = 4096
@@ -164,3 +165,48 @@ def portfolio_variance(weights: DataFrame, cov: DataFrame) -> DataFrame:
     a, b = weights.select("i", F.col("weight").alias("wi")), weights.select(F.col("i").alias("j"), F.col("weight").alias("wj"))
     x = cov.join(a, "i").join(b, "j")
     return x.agg(F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("wi") * F.col("wj") * F.col("cov")).alias("variance"))
+
+
+def marginal_contributions(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame, name: str, periods: float) -> DataFrame:
+    """Per name ``marginal``, the change of yearly volatility per unit of weight, and ``contribution``, its weight times that.
+
+    (C w)_i of a factor model is x_i' F (X'w) + specific_i w_i: the book's factor exposures are
+    a few numbers, and the names x names matrix is never built. Contributions add up to the
+    volatility. Inputs as in ``regression.risk_decomposition``.
+    """
+    book = weights.join(exposures, name).groupBy("factor").agg(F.sum(F.col("w") * F.col("exposure")).alias("x"))
+    fx = factor_cov.join(book.select(F.col("factor").alias("b"), "x"), "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("x")).alias("fx"))
+    of_factors = exposures.join(fx.withColumnRenamed("a", "factor"), "factor").groupBy(name).agg(F.sum(F.col("exposure") * F.col("fx")).alias("c"))
+    c = weights.join(of_factors, name).join(specific.select(name, "specific"), name, "left").withColumn("c", F.col("c") + F.coalesce("specific", F.lit(0.0)) * F.col("w"))
+    sd = F.sqrt(F.greatest(c.agg(F.sum(F.col("w") * F.col("c"))).scalar(), F.lit(0.0)))
+    m = F.try_divide(F.col("c"), F.nullif(sd, F.lit(0.0))) * periods**0.5
+    return c.select(name, m.alias("marginal"), (F.col("w") * m).alias("contribution"))
+
+
+def walk_forward(panel: DataFrame, order: str, vector: str, estimation: int, holding: int) -> DataFrame:
+    """Minimum variance portfolios by estimator, each fitted on ``estimation`` periods and held for the next ``holding``: n_windows, mean ``forecast`` and ``realised`` volatility.
+
+    Periods are numbered in order. A window starts every ``holding`` periods, so a period is in
+    ``estimation / holding + 1`` of them and goes to each; windows are fitted in parallel, one task
+    holding the periods of one window.
+    """
+    x = panel.where(F.col(vector).isNotNull()).select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    x = x.withColumn("i", F.row_number().over(Window.orderBy("o")) - 1)  # one row per period
+    n = x.agg(F.count(F.lit(1))).scalar()
+    first = F.greatest(F.ceil((F.col("i") - (estimation + holding - 1)) / holding), F.lit(0))
+    last = F.least(F.floor(F.col("i") / holding), F.floor((n - estimation - holding) / holding))
+    x = x.withColumn("w", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).withColumn("at", F.col("i") - F.col("w") * holding)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.array(pdf.sort_values("at")["v"].tolist())
+        past, later = r[:estimation], r[estimation:]
+        s = np.cov(past.T, ddof=1)
+        kinds = {"sample": s, "components": principal_covariance(s, max(1, min(5, len(s) - 1)))[0], "diagonal": np.diag(np.diag(s))}
+        out = []
+        for k, c in kinds.items():
+            w = minimum_variance(positive_definite(c), 1.0)
+            out.append((k, float(np.sqrt(w @ c @ w)), float(np.std(later @ w, ddof=1))))
+        return pd.DataFrame(out, columns=["estimator", "forecast", "realised"])
+
+    y = x.groupBy("w").applyInPandas(fit, "estimator string, forecast double, realised double")
+    return y.groupBy("estimator").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("forecast").alias("forecast"), F.avg("realised").alias("realised"))

@@ -110,3 +110,13 @@ def resets(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
 def forward_rate(spot: Column, base_rate: Column, quote_rate: Column, years: Column) -> Column:
     """Covered interest parity."""
     return spot * (1 + base_rate * years) / (1 + quote_rate * years)
+
+
+def leg_mark(notional: Column, forward: Column, spot: Column) -> Column:
+    """Value of a hedge leg struck at ``forward`` now that the rate is ``spot``."""
+    return notional * (forward - spot)
+
+
+def carry(base_rate: Column, quote_rate: Column, years: Column) -> Column:
+    """What holding the base currency earns over the other."""
+    return (base_rate - quote_rate) * years

@@ -29,10 +29,12 @@ def chunks(docs: DataFrame, key: str, text: str, words: int = 220, overlap: int
     count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("int")
     tail = n - (count - 1) * step
     count = F.when((count > 1) & (tail - overlap < 20), count - 1).otherwise(count)
-    x = w.withColumn("__n", count).select(key, "__w", "__n", F.posexplode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("chunk", "__i"))
-    length = F.when(F.col("chunk") == F.col("__n") - 1, F.size("__w") - F.col("chunk") * step).otherwise(words)
-    x = x.select(key, "chunk", (F.col("chunk") * step).alias("first_word"), length.alias("n_words"), "__w")
-    return x.select(key, "chunk", "first_word", "n_words", F.array_join(F.slice("__w", F.col("first_word") + 1, F.col("n_words")), " ").alias("body"))
+    def window(i: Column) -> Column:
+        length = F.when(i == count - 1, n - i * step).otherwise(words)
+        return F.struct(i.alias("chunk"), (i * step).alias("first_word"), length.alias("n_words"), F.array_join(F.slice("__w", i * step + 1, length), " ").alias("body"))
+
+    # cut before they are written out, so that no row carries the whole text
+    return w.select(key, F.explode(F.transform(F.sequence(F.lit(0), count - 1), window)).alias("__c")).select(key, "__c.*")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -47,10 +49,12 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, query_key:
     Postings are reduced to the queries' terms before any join with scores; corpus statistics
     (documents, mean length, document frequencies) cover all documents. Ties go to the least key.
     """
-    corpus = docs.select(F.col(key).alias("doc"), F.size(tokens(F.col(text))).alias("length"))
-    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     q = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    p = postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi")
+    asked = q.agg(F.collect_set("term")).scalar()  # as many terms as the queries have
+    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).withColumn("q", asked).select("doc", F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains(F.col("q"), x)).alias("t"))
+    # per document its length and only the queries' terms; statistics and postings come from this one reading
+    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    p = t.select("doc", "length", F.explode("t").alias("term")).groupBy("doc", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -96,3 +100,12 @@ def grade(df: DataFrame, *, answer: str, must: str, must_not: str, cited: str, e
     abstention = F.col(abstained) == F.col(should_abstain)
     ok = abstention & (F.col(should_abstain) | (contains & avoids))
     return df.withColumns({"contains_ok": contains, "avoids_ok": avoids, "citation_precision": precision, "abstention_ok": abstention, "passed": ok})
+
+
+def report(graded: DataFrame, by: str, *, abstained: str, should_abstain: str, unsupported: str) -> DataFrame:
+    """Graded answers per ``by``: n, accuracy, citation precision (of answers given that cite), abstention accuracy, hallucination rate (answers with an unsupported number)."""
+    mean = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return graded.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"), F.count_if(abstained).alias("abstained"), mean(F.col("passed")).alias("accuracy"), F.avg(F.when(~F.col(abstained), F.col("citation_precision"))).alias("citation_precision"),
+        mean(F.col(abstained) == F.col(should_abstain)).alias("abstention_accuracy"), mean(F.size(unsupported) > 0).alias("hallucination_rate"),
+    )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, extras, indexes, models, portfolio, problems, relational, statistics
+from . import entities, equity, extras, indexes, models, portfolio, problems, relational, statistics
 
-MODULES = [problems, relational, statistics, entities, portfolio, extras, models, indexes]
+MODULES = [problems, relational, statistics, entities, portfolio, extras, models, indexes, equity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

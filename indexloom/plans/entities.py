@@ -186,22 +186,41 @@ UNION ALL SELECT 'positive_close', 'BLOCK', count(*) FILTER (WHERE NOT (close >
 UNION ALL SELECT 'ohlc_consistent', 'WARN', count(*) FILTER (WHERE high < low OR close > high * 1.0001 OR close < low * 0.9999), count(*) FROM prices
 UNION ALL SELECT 'float_in_range', 'BLOCK', count(*) FILTER (WHERE free_float_factor < 0 OR free_float_factor > 1), count(*) FROM shares
 UNION ALL SELECT 'shares_plausible', 'BLOCK', count(*) FILTER (WHERE shares_outstanding <= 0 OR NOT isfinite(shares_outstanding)), count(*) FROM shares
-UNION ALL SELECT 'volume_not_negative', 'ESCALATE', count(*) FILTER (WHERE volume < 0), count(*) FROM prices)
+UNION ALL SELECT 'volume_not_negative', 'ESCALATE', count(*) FILTER (WHERE volume < 0), count(*) FROM prices
+UNION ALL SELECT 'currency_given', 'WARN', count(*) FILTER (WHERE currency IS NULL), count(*) FROM prices
+UNION ALL SELECT 'listing_given', 'BLOCK', count(*) FILTER (WHERE listing_id IS NULL OR security_id IS NULL), count(*) FROM prices
+UNION ALL SELECT 'paused_days_do_not_trade', 'WARN', count(*) FILTER (WHERE is_suspended AND volume > 0), count(*) FROM prices
+UNION ALL SELECT 'known_day_given', 'WARN', count(*) FILTER (WHERE knowledge_date IS NULL), count(*) FROM shares
+UNION ALL SELECT 'limit_in_range', 'WARN', count(*) FILTER (WHERE foreign_ownership_limit < 0 OR foreign_ownership_limit > 1), count(*) FROM shares
+UNION ALL SELECT 'filed_after_period', 'WARN', count(*) FILTER (WHERE filed_date < period_end), count(*) FROM fundamentals
+UNION ALL SELECT 'value_given', 'WARN', count(*) FILTER (WHERE value IS NULL), count(*) FROM fundamentals
+UNION ALL SELECT 'weight_not_negative', 'BLOCK', count(*) FILTER (WHERE weight < -1e-12), count(*) FROM capacity
+UNION ALL SELECT 'weight_under_limit', 'WARN', count(*) FILTER (WHERE weight > 0.15), count(*) FROM capacity
+UNION ALL SELECT 'adv_not_negative', 'BLOCK', count(*) FILTER (WHERE adv < 0), count(*) FROM capacity
+UNION ALL SELECT 'interval_in_order', 'WARN', count(*) FILTER (WHERE valid_to <= valid_from), count(*) FROM identifiers)
 """
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    p, s = table(spark, d, "prices"), table(spark, d, "shares")
-    inf = float("inf")
-    good = lambda c: (F.col(c) > 0) & (F.col(c) < inf)
-    key = F.concat_ws("@", "listing_id", F.col("date").cast("string"))
-    rules = [
-        (p, "no_null_close", "BLOCK", F.col("close").isNull(), key), (p, "positive_close", "BLOCK", F.col("close").isNotNull() & ~good("close"), key),
-        (p, "ohlc_consistent", "WARN", F.coalesce(F.col("high") < F.col("low"), F.lit(False)) | F.coalesce(F.col("close") > F.col("high") * 1.0001, F.lit(False)) | F.coalesce(F.col("close") < F.col("low") * 0.9999, F.lit(False)), key),
-        (s, "float_in_range", "BLOCK", (F.col("free_float_factor") < 0) | (F.col("free_float_factor") > 1), F.col("security_id")),
-        (s, "shares_plausible", "BLOCK", F.col("shares_outstanding").isNotNull() & ~good("shares_outstanding"), F.col("security_id")), (p, "volume_not_negative", "ESCALATE", F.col("volume") < 0, key),
+    good = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
+    either = lambda *cs: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cs])
+    of_prices = [
+        ("no_null_close", "BLOCK", F.col("close").isNull()), ("positive_close", "BLOCK", F.col("close").isNotNull() & ~good("close")),
+        ("ohlc_consistent", "WARN", either(F.col("high") < F.col("low"), F.col("close") > F.col("high") * 1.0001, F.col("close") < F.col("low") * 0.9999)), ("volume_not_negative", "ESCALATE", F.col("volume") < 0),
+        ("currency_given", "WARN", F.col("currency").isNull()), ("listing_given", "BLOCK", F.col("listing_id").isNull() | F.col("security_id").isNull()), ("paused_days_do_not_trade", "WARN", F.col("is_suspended") & (F.col("volume") > 0)),
     ]
-    return reduce(DataFrame.unionByName, [compare.finding(*r) for r in rules])
+    of_shares = [
+        ("float_in_range", "BLOCK", (F.col("free_float_factor") < 0) | (F.col("free_float_factor") > 1)), ("shares_plausible", "BLOCK", F.col("shares_outstanding").isNotNull() & ~good("shares_outstanding")),
+        ("known_day_given", "WARN", F.col("knowledge_date").isNull()), ("limit_in_range", "WARN", (F.col("foreign_ownership_limit") < 0) | (F.col("foreign_ownership_limit") > 1)),
+    ]
+    of_filings = [("filed_after_period", "WARN", F.col("filed_date") < F.col("period_end")), ("value_given", "WARN", F.col("value").isNull())]
+    of_weights = [("weight_not_negative", "BLOCK", F.col("weight") < -1e-12), ("weight_under_limit", "WARN", F.col("weight") > 0.15), ("adv_not_negative", "BLOCK", F.col("adv") < 0)]
+    of_identifiers = [("interval_in_order", "WARN", F.col("valid_to") <= F.col("valid_from"))]
+    tables = [
+        ("prices", of_prices, F.concat_ws("@", "listing_id", F.col("date").cast("string"))), ("shares", of_shares, F.col("security_id")), ("fundamentals", of_filings, F.col("security_id")),
+        ("capacity", of_weights, F.concat_ws("@", "listing_id", F.col("as_of").cast("string"))), ("identifiers", of_identifiers, F.col("security_id")),
+    ]
+    return reduce(DataFrame.unionByName, [compare.guarded(t, lambda t=t, r=r, k=k: compare.findings(table(spark, d, t), r, k), spark) for t, r, k in tables])
 
 
 @query(_FINDINGS + "SELECT rule, severity, n_bad = 0 AS passed, n_bad, n_rows FROM f")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import regression as rg
+from ..operators import research, risk
+from ..sources.tables import table
 from .common import clean_prices, signals, text_day
 
 QUERIES, SQL = {}, {}
@@ -57,15 +59,53 @@ def factor_model_returns(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d)[1].select(text_day("as_of").alias("as_of"), "factor", F.round("ret", 8).alias("ret"), F.round("r2", 8).alias("r2"))
 
 
-@query
-def factor_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Variance of the cap-weighted book at the last month, split by factor and the specific part."""
-    p, f, r = _model(spark, d)
+def _book_model(p: DataFrame, f: DataFrame, r: DataFrame):
+    """Weights, exposures, factor covariance and specific variances of the cap-weighted book at the last month."""
     a, b = f.select("as_of", F.col("factor").alias("a"), F.col("ret").alias("x")), f.select("as_of", F.col("factor").alias("b"), F.col("ret").alias("y"))
     cov = a.join(b, "as_of").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))  # factors squared per month
     last = p.where("fwd IS NOT NULL").agg(F.max("as_of")).scalar()
     book = p.where(F.col("as_of") == last).withColumn("const", F.lit(1.0))
     w = book.select("security_id", "cap").withColumn("w", F.col("cap") / book.agg(F.sum("cap")).scalar()).drop("cap")
-    e = book.unpivot(["security_id"], ["const", *XS], "factor", "exposure")
-    s = rg.specific_variance(r, "as_of", "security_id", 365.0)
+    return w, book.unpivot(["security_id"], ["const", *XS], "factor", "exposure"), cov, rg.specific_variance(r, "as_of", "security_id", 365.0)
+
+
+@query
+def factor_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Variance of the cap-weighted book at the last month, split by factor and the specific part."""
+    w, e, cov, s = _book_model(*_model(spark, d))
     return rg.risk_decomposition(w, e, cov, s, "security_id").select("factor", F.round("variance", 12).alias("variance"))
+
+
+@query
+def joint_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """F test that four industries' mean growth has no intercept on the market's and the fifth industry's."""
+    p = _panel(spark, d).where("fwd IS NOT NULL")
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    m = p.groupBy("as_of").agg(F.avg("fwd").alias("market"), *[F.avg(F.when(F.col("industry") == n, F.col("fwd"))).alias(n.lower()) for n in names])
+    g = rg.gram_matrix(m, ["market", "machinery", *[n.lower() for n in names[:-1]]])
+    f, pv = rg.joint_alpha(g, 2)
+    return spark.createDataFrame([(int(g[0, 0]), 4, 2, float(f), float(pv))], "n_periods int, n_portfolios int, n_factors int, statistic double, p double")
+
+
+@query
+def fama_macbeth_many(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted regressions on all characteristics per month, and the mean of every coefficient with its autocorrelation-robust t."""
+    c = rg.per_group(_panel(spark, d), "as_of", "fwd", XS, weight="cap", least=30).select("as_of", "term", "coef")
+    x = research.newey_west_by(c, "term", "as_of", "coef", 3)
+    return x.select("term", "n", F.round("mean", 8).alias("mean"), F.round("se", 8).alias("se"), F.round(F.try_divide("mean", F.nullif("se", F.lit(0.0))), 6).alias("t"))
+
+
+@query
+def marginal_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Every name's marginal contribution to the risk of the cap-weighted book at the last month."""
+    p, f, r = _model(spark, d)
+    w, e, cov, s = _book_model(p, f, r)
+    x = risk.marginal_contributions(w, e, cov, s, "security_id", 12.0)
+    return x.select("security_id", F.round("marginal", 8).alias("marginal"), F.round("contribution", 10).alias("contribution"))
+
+
+@query
+def estimator_bakeoff(spark: SparkSession, d: str) -> DataFrame:
+    """Minimum variance portfolios of the embedding axes by three estimators, walked forward: what risk they had afterwards."""
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("t"), "embedding")
+    return risk.walk_forward(x, "t", "embedding", estimation=120, holding=20).select("estimator", "n_windows", F.round("realised", 8).alias("realised"), F.round("forecast", 8).alias("forecast"))

@@ -27,9 +27,11 @@ def local_session(cores: int | str = 8, name: str = "indexloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; set only where it is unset (tests)."""
+    """The folder all executors share, as the session names it. Only a local session, as in tests, gets a folder of its own where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="indexloom-")
