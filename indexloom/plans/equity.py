@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import crosssection as cs
-from ..operators import pit, research, series, text
+from ..operators import optimise, pit, research, series, text
 from ..sources.tables import table
 from .common import CLEAN, FX, SIGNALS, clean_prices, fx, signals, text_day
 from .indexes import BASE, QUOTES, _QUOTES, _members, _rates
@@ -87,6 +87,18 @@ def inverse_volatility_weights(spark: SparkSession, d: str) -> DataFrame:
     return x.select("listing_id", F.round(F.col("i") / x.agg(F.sum("i")).scalar(), 10).alias("weight"))
 
 
+@query(_LIQ + """, v AS (SELECT coalesce(l.mic, '') || ':' || coalesce(l.currency, '') AS book, g.listing_id, vol * vol AS v FROM g JOIN (SELECT DISTINCT listing_id, mic, currency FROM listings) l USING (listing_id) WHERE vol > 0.01)
+SELECT book, listing_id, round((1 / v) / sum(1 / v) OVER (PARTITION BY book), 3) AS weight, TRUE AS feasible FROM v""")
+def optimised_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The long-only book of least variance per market and currency, with uncorrelated names: the solver must find weights by one over variance."""
+    x = cs.liquidity(_priced(spark, d), "listing_id", "date", "close", "volume", "is_suspended", 60).where("vol > 0.01")
+    l = table(spark, d, "listings").select("listing_id", F.concat(F.coalesce("mic", F.lit("")), F.lit(":"), F.coalesce("currency", F.lit(""))).alias("book")).distinct()
+    x = x.join(l, "listing_id").select("book", "listing_id", (F.col("vol") * F.col("vol")).alias("v"))
+    x = x.withColumn("b", 1 / F.count(F.lit(1)).over(Window.partitionBy("book")))
+    y = optimise.solve_groups(x, "book", "listing_id", "b", [], optimise.minimise_variance(), [optimise.full_investment(), optimise.long_only()], "v")
+    return y.select("book", "listing_id", F.round("weight", 3).alias("weight"), "feasible")
+
+
 _ITEMS = {"BOOK_EQUITY": "book", "NET_INCOME": "income", "REVENUE": "revenue", "OPERATING_CASHFLOW": "cash", "CAPEX": "capex", "DIVIDENDS_PAID": "dividends"}
 
 
