@@ -87,17 +87,18 @@ def runs(df: DataFrame, key: str, order: str, value: Column, least: int) -> Data
     return g.where(F.col("n") >= least).drop("__r")
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str, weight: str) -> DataFrame:
-    """Full outer join of two weight snapshots: key, w0, w1, change."""
-    a = before.select(key, F.col(weight).alias("w0"))
-    b = after.select(key, F.col(weight).alias("w1"))
-    return a.join(b, key, "full").withColumn("change", F.coalesce("w1", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))
+def snapshot_diff(before: DataFrame, after: DataFrame, key: str | Sequence[str], weight: str) -> DataFrame:
+    """Full outer join of two weight snapshots: key columns, w0, w1, change."""
+    keys = [key] if isinstance(key, str) else list(key)
+    a = before.select(*keys, F.col(weight).alias("w0"))
+    b = after.select(*keys, F.col(weight).alias("w1"))
+    return a.join(b, keys, "full").withColumn("change", F.coalesce("w1", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))
 
 
-def turnover(diff: DataFrame) -> DataFrame:
-    """One row: one-way turnover, weight added and deleted, counts."""
+def turnover(diff: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """One row per group, or one: one-way turnover, weight added and deleted, counts."""
     add, gone = F.col("w0").isNull(), F.col("w1").isNull()
-    return diff.agg(
+    return diff.groupBy(*group).agg(
         (F.sum(F.abs("change")) / 2).alias("one_way"), F.sum(F.when(add, F.col("w1"))).alias("added_weight"), F.sum(F.when(gone, F.col("w0"))).alias("deleted_weight"),
         F.sum(F.when(~add & ~gone, F.abs("change"))).alias("drift"), F.count_if(add).alias("n_added"), F.count_if(gone).alias("n_deleted"),
     )

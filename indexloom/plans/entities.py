@@ -306,9 +306,11 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::INT AS n FROM documents), c AS (SELECT doc_id, n, greatest(1, ceil((n - 40) / 180.0))::INT AS k FROM w WHERE n > 0),
 f AS (SELECT doc_id, n, CASE WHEN k > 1 AND n - (k - 1) * 180 - 40 < 20 THEN k - 1 ELSE k END AS k FROM c), x AS (SELECT doc_id, n, k, unnest(range(k))::INT AS chunk FROM f)
-SELECT doc_id, chunk, (chunk * 180)::INT AS first_word, (CASE WHEN chunk = k - 1 THEN n - chunk * 180 ELSE 220 END)::INT AS n_words FROM x""")
+SELECT x.doc_id, chunk, (chunk * 180)::INT AS first_word, (CASE WHEN chunk = k - 1 THEN n - chunk * 180 ELSE 220 END)::INT AS n_words,
+md5(array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), chunk * 180 + 1, chunk * 180 + CASE WHEN chunk = k - 1 THEN n - chunk * 180 ELSE 220 END), ' ')) AS body_hash FROM x JOIN documents USING (doc_id)""")
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return text.chunks(table(spark, d, "documents"), "doc_id", "text").drop("body")
+    x = text.chunks(table(spark, d, "documents"), "doc_id", "text")
+    return x.withColumn("body_hash", F.md5("body")).drop("body")
 
 
 _QUERIES = "(VALUES (1, 'How is the divisor adjusted after a special dividend?'), (2, 'free float change after a block sale'), (3, 'stale price check stopped the run'), (4, 'momentum twelve months before the last one')) q(query, question)"

@@ -41,40 +41,47 @@ def selection_weights(spark: SparkSession, d: str) -> DataFrame:
     return t.select(text_day("as_of").alias("as_of"), "security_id", F.round(cs.normalised_weight(F.col("cap"), ["as_of"]), 10).alias("weight"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SIGNALS}, w AS (SELECT as_of, security_id, signal / sum(signal) OVER p AS w, 3 * sqrt(cap) / sum(sqrt(cap)) OVER p AS c FROM sg WINDOW p AS (PARTITION BY as_of)), f AS (SELECT *, sum(c) OVER (PARTITION BY as_of) >= 1 - 1e-12 AS feasible FROM w),
+r AS (SELECT 0 AS i, as_of, security_id, w, c, feasible, w AS x, FALSE AS done FROM f
+ UNION ALL SELECT i + 1, as_of, security_id, w, c, feasible, CASE WHEN done OR x > c THEN c ELSE w * (1 - sum(CASE WHEN done OR x > c THEN c ELSE 0 END) OVER p) / sum(CASE WHEN done OR x > c THEN 0 ELSE w END) OVER p END, done OR x > c FROM r WHERE i < 60 AND feasible WINDOW p AS (PARTITION BY as_of))
+SELECT strftime(as_of, '%Y-%m-%d') AS as_of, security_id, round(x, 10) AS limited, feasible FROM r WHERE i = 60""")
 def ceiling_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights by signal under ceilings proportional to the square root of capacity."""
     s = signals(spark, d).withColumn("ceiling", 3 * F.sqrt("cap") / F.sum(F.sqrt("cap")).over(Window.partitionBy("as_of")))
     return cs.ceiling_weights(s, ["as_of"], "signal", "ceiling", "security_id").select(text_day("as_of").alias("as_of"), "security_id", F.round("limited", 10).alias("limited"), "feasible")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SIGNALS}, w AS (SELECT as_of, industry, security_id, signal / sum(signal) OVER (PARTITION BY as_of) AS w FROM sg), g AS (SELECT as_of, industry, sum(w) AS g FROM w GROUP BY ALL),
+r AS (SELECT 0 AS i, as_of, industry, g, g AS x, FALSE AS done FROM g
+ UNION ALL SELECT i + 1, as_of, industry, g, CASE WHEN done OR x > 0.25 THEN 0.25 ELSE g * (1 - 0.25 * count(*) FILTER (WHERE done OR x > 0.25) OVER p) / sum(CASE WHEN done OR x > 0.25 THEN 0 ELSE g END) OVER p END, done OR x > 0.25 FROM r WHERE i < 20 WINDOW p AS (PARTITION BY as_of)),
+z AS (SELECT as_of, industry, g, x, count(*) OVER (PARTITION BY as_of) AS n FROM r WHERE i = 20)
+SELECT strftime(as_of, '%Y-%m-%d') AS as_of, industry, security_id, round(w * CASE WHEN n * 0.25 >= 1 - 1e-12 THEN x ELSE 1.0 / n END / g, 10) AS weight, n * 0.25 >= 1 - 1e-12 AS feasible FROM w JOIN z USING (as_of, industry)""")
 def group_capped_weights(spark: SparkSession, d: str) -> DataFrame:
     """No industry above 25 % of a month."""
     s = signals(spark, d).withColumn("w", cs.normalised_weight(F.col("signal"), ["as_of"]))
     return cs.cap_groups(s, ["as_of"], "industry", "w", 0.25).select(text_day("as_of").alias("as_of"), "industry", "security_id", F.round("group_capped", 10).alias("weight"), "feasible")
 
 
-@query("""WITH c AS (SELECT listing_id, as_of, max(weight) AS weight, max(adv) AS adv FROM capacity WHERE window_days = 30 GROUP BY ALL), t AS (SELECT *, 1e9 * weight / nullif(adv * 0.2, 0) AS days FROM c)
-SELECT strftime(as_of, '%Y-%m-%d') AS as_of, count(*) AS n, count(days) AS n_tradable, round(sum(weight * days) / sum(weight) FILTER (WHERE days IS NOT NULL), 6) AS mean_days FROM t GROUP BY as_of""")
+@query("""WITH c AS (SELECT listing_id, as_of, window_days, max(weight) AS weight, max(adv) AS adv FROM capacity GROUP BY ALL), t AS (SELECT *, 1e9 * weight / nullif(adv * 0.2, 0) AS days FROM c)
+SELECT strftime(as_of, '%Y-%m-%d') AS as_of, window_days, count(*) AS n, count(days) AS n_tradable, round(sum(weight * days) / sum(weight) FILTER (WHERE days IS NOT NULL), 6) AS mean_days FROM t GROUP BY as_of, window_days""")
 def days_to_trade(spark: SparkSession, d: str) -> DataFrame:
     """Weighted mean days to trade a fund of 1e9 at a fifth of the daily value."""
-    c = table(spark, d, "capacity").where("window_days = 30").groupBy("listing_id", "as_of").agg(F.max("weight").alias("weight"), F.max("adv").alias("adv"))
+    c = table(spark, d, "capacity").groupBy("listing_id", "as_of", "window_days").agg(F.max("weight").alias("weight"), F.max("adv").alias("adv"))
     t = c.withColumn("days", F.try_divide(1e9 * F.col("weight"), F.nullif(F.col("adv") * 0.2, F.lit(0.0))))
-    return t.groupBy(text_day("as_of").alias("as_of")).agg(
+    return t.groupBy(text_day("as_of").alias("as_of"), "window_days").agg(
         F.count(F.lit(1)).alias("n"), F.count("days").alias("n_tradable"), F.round(F.sum(F.col("weight") * F.col("days")) / F.sum(F.when(F.col("days").isNotNull(), F.col("weight"))), 6).alias("mean_days")
     )
 
 
-@query(f"""WITH {FX}, v AS (SELECT CAST(o_orderdate AS DATE) AS date, r_name AS quote, sum(o_totalprice) AS local FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
-SELECT v.quote, count(*) AS n, round(sum(v.local * fx.rate), 2) AS base, round(sum(v.local), 2) AS local FROM v ASOF JOIN fx ON v.quote = fx.quote AND v.date >= fx.date WHERE v.date - fx.date <= 7 GROUP BY v.quote""")
+@query(f"""WITH {FX}, v AS (SELECT CAST(o_orderdate AS DATE) AS date, r_name AS quote, o_orderpriority AS book, sum(o_totalprice) AS local FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL)
+SELECT v.book, v.quote, count(*) AS n, round(sum(v.local * fx.rate), 2) AS base, round(sum(v.local), 2) AS local FROM v ASOF JOIN fx ON v.quote = fx.quote AND v.date >= fx.date WHERE v.date - fx.date <= 7 GROUP BY v.book, v.quote""")
 def currency_exposures(spark: SparkSession, d: str) -> DataFrame:
     """Local values converted at the as-of rate of at most seven days, by currency."""
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
-    v = o.where("o_orderpriority = '1-URGENT'").join(c, o.o_custkey == c.c_custkey).join(n, n.n_nationkey == c.c_nationkey).join(r, r.r_regionkey == n.n_regionkey)
-    v = v.groupBy(F.to_date("o_orderdate").alias("date"), F.col("r_name").alias("quote")).agg(F.sum("o_totalprice").alias("local"))
-    rate = pit.carry_forward(v.select("quote", "date"), fx(spark, d), "quote", "date", "rate").where("age_days <= 7")
-    return v.join(rate, ["quote", "date"]).groupBy("quote").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("local") * F.col("rate")), 2).alias("base"), F.round(F.sum("local"), 2).alias("local"))
+    v = o.join(c, o.o_custkey == c.c_custkey).join(n, n.n_nationkey == c.c_nationkey).join(r, r.r_regionkey == n.n_regionkey)
+    v = v.groupBy(F.to_date("o_orderdate").alias("date"), F.col("r_name").alias("quote"), F.col("o_orderpriority").alias("book")).agg(F.sum("o_totalprice").alias("local"))
+    rate = pit.carry_forward(v.select("quote", "date").distinct(), fx(spark, d), "quote", "date", "rate").where("age_days <= 7")
+    return v.join(rate, ["quote", "date"]).groupBy("book", "quote").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("local") * F.col("rate")), 2).alias("base"), F.round(F.sum("local"), 2).alias("local"))
 
 
 _PIT = """WITH p AS (SELECT security_id, item, value FROM fundamentals WHERE filed_date <= DATE '2023-06-30' AND period_end >= DATE '2023-06-30' - 550 AND value IS NOT NULL
@@ -94,23 +101,23 @@ def fundamental_ratios(spark: SparkSession, d: str) -> DataFrame:
     return w.select("security_id", ratio(F.col("ni"), "book").alias("roe"), ratio(F.col("debt"), "assets").alias("leverage"), ratio(F.col("gp"), "assets").alias("profitability"), ratio(F.col("ni") - F.col("ocf"), "assets").alias("accruals"))
 
 
-@query("""WITH q AS (SELECT DISTINCT security_id, period_end, value FROM (SELECT *, row_number() OVER (PARTITION BY security_id, period_end ORDER BY filed_date DESC, value DESC) AS r FROM fundamentals WHERE item = 'TOTAL_ASSETS' AND value IS NOT NULL AND filed_date IS NOT NULL) WHERE r = 1)
-SELECT a.security_id, strftime(a.period_end, '%Y-%m-%d') AS period_end, round(a.value / b.value - 1, 8) AS growth FROM q a JOIN q b ON a.security_id = b.security_id AND b.period_end = (a.period_end - INTERVAL 1 YEAR)::DATE WHERE b.value > 0""")
+@query("""WITH q AS (SELECT DISTINCT security_id, item, period_end, value FROM (SELECT *, row_number() OVER (PARTITION BY security_id, item, period_end ORDER BY filed_date DESC, value DESC) AS r FROM fundamentals WHERE value IS NOT NULL AND filed_date IS NOT NULL AND item IS NOT NULL) WHERE r = 1)
+SELECT a.security_id, a.item, strftime(a.period_end, '%Y-%m-%d') AS period_end, round(a.value / b.value - 1, 8) AS growth FROM q a JOIN q b ON a.security_id = b.security_id AND a.item = b.item AND b.period_end = (a.period_end - INTERVAL 1 YEAR)::DATE WHERE b.value > 0""")
 def yearly_growth(spark: SparkSession, d: str) -> DataFrame:
     """Growth of the last filed value over the same period a year before."""
-    f = table(spark, d, "fundamentals").where("item = 'TOTAL_ASSETS' AND value IS NOT NULL AND filed_date IS NOT NULL")
-    q = pit.latest_by(f, ["security_id", "period_end"], ["filed_date", "value"], ["value"])
-    b = q.select("security_id", F.col("period_end").alias("before"), F.col("value").alias("base")).where("base > 0")
-    x = q.withColumn("before", F.add_months("period_end", -12)).join(b, ["security_id", "before"])
-    return x.select("security_id", text_day("period_end").alias("period_end"), F.round(F.col("value") / F.col("base") - 1, 8).alias("growth"))
+    f = table(spark, d, "fundamentals").where("value IS NOT NULL AND filed_date IS NOT NULL AND item IS NOT NULL")
+    q = pit.latest_by(f, ["security_id", "item", "period_end"], ["filed_date", "value"], ["value"])
+    b = q.select("security_id", "item", F.col("period_end").alias("before"), F.col("value").alias("base")).where("base > 0")
+    x = q.withColumn("before", F.add_months("period_end", -12)).join(b, ["security_id", "item", "before"])
+    return x.select("security_id", "item", text_day("period_end").alias("period_end"), F.round(F.col("value") / F.col("base") - 1, 8).alias("growth"))
 
 
-@query(f"""WITH {SIGNALS}, m AS (SELECT as_of, avg(signal) AS v FROM sg GROUP BY as_of) SELECT strftime(as_of, '%Y-%m-%d') AS step, round(v - lag(v) OVER (ORDER BY as_of), 4) AS change, round(v - first_value(v) OVER (ORDER BY as_of), 4) AS cumulative FROM m""")
+@query(f"""WITH {SIGNALS}, m AS (SELECT as_of, avg(signal) AS v FROM sg GROUP BY as_of) SELECT strftime(as_of, '%Y-%m-%d') AS step, round(v - lag(v) OVER (ORDER BY as_of), 2) AS change, round(v - first_value(v) OVER (ORDER BY as_of), 2) AS cumulative FROM m""")
 def step_waterfall(spark: SparkSession, d: str) -> DataFrame:
     """Changes from step to step and since the first; one row per month, so the one window is short."""
     m = signals(spark, d).groupBy("as_of").agg(F.avg("signal").alias("v"))
     w = Window.partitionBy(F.lit(0)).orderBy("as_of")
-    return m.select(text_day("as_of").alias("step"), F.round(F.col("v") - F.lag("v").over(w), 4).alias("change"), F.round(F.col("v") - F.first("v").over(w), 4).alias("cumulative"))
+    return m.select(text_day("as_of").alias("step"), F.round(F.col("v") - F.lag("v").over(w), 2).alias("change"), F.round(F.col("v") - F.first("v").over(w), 2).alias("cumulative"))
 
 
 @query(f"""WITH {CLEAN}, r AS (SELECT listing_id, date, close / lag(close) OVER w - 1 AS ret FROM cp WINDOW w AS (PARTITION BY listing_id ORDER BY date)), p AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY listing_id ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS vol, count(ret) OVER (PARTITION BY listing_id ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS n FROM r)

@@ -84,7 +84,9 @@ def active_share(spark: SparkSession, d: str) -> DataFrame:
     return x.select(text_day("as_of").alias("as_of"), F.round("active_share", 9).alias("active_share"), "n_held")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SIGNALS}, o AS (SELECT security_id, as_of, signal, row_number() OVER (PARTITION BY security_id ORDER BY as_of) AS i FROM sg),
+r AS (SELECT security_id, as_of, i, signal AS held FROM o WHERE i = 1 UNION ALL SELECT o.security_id, o.as_of, o.i, CASE WHEN abs(o.signal - r.held) > 150000 THEN o.signal ELSE r.held END FROM r JOIN o ON o.security_id = r.security_id AND o.i = r.i + 1)
+SELECT security_id, strftime(as_of, '%Y-%m-%d') AS as_of, round(held, 4) AS adopted FROM r""")
 def buffered_signal(spark: SparkSession, d: str) -> DataFrame:
     """The signal held until it moves by more than 150,000."""
     x = research.hysteresis(signals(spark, d), "security_id", "as_of", "signal", 150_000.0)

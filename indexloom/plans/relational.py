@@ -93,13 +93,14 @@ def filed_years(spark: SparkSession, d: str) -> DataFrame:
     return pit.known_at(table(spark, d, "fundamentals"), AS_OF, "filed_date").groupBy(F.year("filed_date").alias("filed_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FX}, cal AS (SELECT q.quote, c.d::DATE AS date FROM (SELECT DISTINCT quote FROM fx) q, (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY)) AS d) c)
+@query(f"""WITH {FX}, cal AS (SELECT q.quote, c.d::DATE AS date FROM (SELECT DISTINCT quote FROM fx) q, (SELECT unnest(generate_series((SELECT min(date) FROM fx), (SELECT max(date) FROM fx), INTERVAL 1 DAY)) AS d) c)
 SELECT cal.quote, strftime(cal.date, '%Y-%m-%d') AS day, round(fx.rate, 12) AS rate, (cal.date - fx.date)::INT AS age_days FROM cal ASOF LEFT JOIN fx ON cal.quote = fx.quote AND cal.date >= fx.date""")
 def fx_carried_forward(spark: SparkSession, d: str) -> DataFrame:
     """Rates on every calendar day with the last observation carried forward."""
     r = fx(spark, d)
-    cal = r.select("quote").distinct().select("quote", F.explode(F.sequence(F.to_date(F.lit("1996-01-01")), F.to_date(F.lit("1997-12-31")))).alias("date"))
-    x = pit.carry_forward(cal, r.where("date <= DATE'1997-12-31'"), "quote", "date", "rate")
+    span = r.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    cal = r.select("quote").distinct().select("quote", F.explode(F.sequence(span.select("a").scalar(), span.select("b").scalar())).alias("date"))
+    x = pit.carry_forward(cal, r, "quote", "date", "rate")
     return x.select("quote", text_day("date").alias("day"), rounded("rate", 12).alias("rate"), "age_days")
 
 
@@ -172,29 +173,32 @@ def membership_spells(spark: SparkSession, d: str) -> DataFrame:
     return pit.spells(e, "index_id", "security_id", "day").withColumns({c: text_day(c) for c in ("from_date", "to_date")})
 
 
-_TWO = f"""WITH {MEMBERSHIP}, a AS (SELECT security_id, sum(weight) AS w FROM mb WHERE index_id = '1-URGENT' AND from_date <= DATE '1997-12-31' AND (to_date IS NULL OR to_date > DATE '1997-12-31') GROUP BY 1),
-b AS (SELECT security_id, sum(weight) AS w FROM mb WHERE index_id = '1-URGENT' AND from_date <= DATE '1998-12-31' AND (to_date IS NULL OR to_date > DATE '1998-12-31') GROUP BY 1),
-x AS (SELECT a.w / (SELECT sum(w) FROM a) AS w0, b.w / (SELECT sum(w) FROM b) AS w1, coalesce(a.security_id, b.security_id) AS security_id FROM a FULL JOIN b ON a.security_id = b.security_id)
+_TWO = f"""WITH {MEMBERSHIP},
+a AS (SELECT index_id, security_id, sum(weight) AS w FROM mb WHERE from_date <= DATE '1997-12-31' AND (to_date IS NULL OR to_date > DATE '1997-12-31') GROUP BY 1, 2),
+b AS (SELECT index_id, security_id, sum(weight) AS w FROM mb WHERE from_date <= DATE '1998-12-31' AND (to_date IS NULL OR to_date > DATE '1998-12-31') GROUP BY 1, 2),
+p AS (SELECT index_id, security_id, w / sum(w) OVER (PARTITION BY index_id) AS w FROM a), q AS (SELECT index_id, security_id, w / sum(w) OVER (PARTITION BY index_id) AS w FROM b),
+x AS (SELECT p.w AS w0, q.w AS w1, coalesce(p.index_id, q.index_id) AS index_id, coalesce(p.security_id, q.security_id) AS security_id FROM p FULL JOIN q ON p.security_id = q.security_id AND p.index_id = q.index_id)
 """
 
 
 def _two(spark: SparkSession, d: str) -> DataFrame:
-    m = membership(spark, d).where("index_id = '1-URGENT'")
+    """Weights of every index on two days, each a share of its index."""
+    m = membership(spark, d)
 
     def at(day: str) -> DataFrame:
-        g = pit.in_force(m, day, "from_date", "to_date").groupBy("security_id").agg(F.sum("weight").alias("w"))
-        return g.withColumn("w", F.col("w") / g.agg(F.sum("w")).scalar())
+        g = pit.in_force(m, day, "from_date", "to_date").groupBy("index_id", "security_id").agg(F.sum("weight").alias("w"))
+        return g.join(g.groupBy("index_id").agg(F.sum("w").alias("of")), "index_id").select("index_id", "security_id", (F.col("w") / F.col("of")).alias("w"))
 
-    return pit.snapshot_diff(at("1997-12-31"), at("1998-12-31"), "security_id", "w")
+    return pit.snapshot_diff(at("1997-12-31"), at("1998-12-31"), ["index_id", "security_id"], "w")
 
 
-@query(_TWO + """SELECT round(sum(abs(coalesce(w1, 0) - coalesce(w0, 0))) / 2, 8) AS one_way, round(sum(w1) FILTER (WHERE w0 IS NULL), 8) AS added_weight, round(sum(w0) FILTER (WHERE w1 IS NULL), 8) AS deleted_weight,
-round(sum(abs(w1 - w0)), 8) AS drift, count(*) FILTER (WHERE w0 IS NULL) AS n_added, count(*) FILTER (WHERE w1 IS NULL) AS n_deleted FROM x""")
+@query(_TWO + """SELECT index_id, round(sum(abs(coalesce(w1, 0) - coalesce(w0, 0))) / 2, 8) AS one_way, round(sum(w1) FILTER (WHERE w0 IS NULL), 8) AS added_weight, round(sum(w0) FILTER (WHERE w1 IS NULL), 8) AS deleted_weight,
+round(sum(abs(w1 - w0)), 8) AS drift, count(*) FILTER (WHERE w0 IS NULL) AS n_added, count(*) FILTER (WHERE w1 IS NULL) AS n_deleted FROM x GROUP BY index_id""")
 def turnover_between_reviews(spark: SparkSession, d: str) -> DataFrame:
-    return pit.turnover(_two(spark, d)).withColumns({c: F.round(c, 8) for c in ("one_way", "added_weight", "deleted_weight", "drift")})
+    return pit.turnover(_two(spark, d), ["index_id"]).withColumns({c: F.round(c, 8) for c in ("one_way", "added_weight", "deleted_weight", "drift")})
 
 
-@query(_TWO + "SELECT security_id, round(w0, 10) AS w0, round(w1, 10) AS w1, round(coalesce(w1, 0) - coalesce(w0, 0), 10) AS change FROM x")
+@query(_TWO + "SELECT index_id, security_id, round(w0, 10) AS w0, round(w1, 10) AS w1, round(coalesce(w1, 0) - coalesce(w0, 0), 10) AS change FROM x")
 def reconstitution_diff(spark: SparkSession, d: str) -> DataFrame:
     return _two(spark, d).withColumns({c: F.round(c, 10) for c in ("w0", "w1", "change")})
 
@@ -220,25 +224,27 @@ def prices_wide(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("date").pivot("currency", ["EUR", "GBP", "USD"]).agg(F.max("close")).select(text_day("date").alias("day"), "EUR", "GBP", "USD")
 
 
-@query("""WITH e AS (SELECT event_id, security_id, ex_date FROM corp_actions WHERE event_type = 'CASH_DIVIDEND' AND ex_date IS NOT NULL),
+@query("""WITH e AS (SELECT event_id, security_id, ex_date FROM corp_actions WHERE ex_date IS NOT NULL),
 s AS (SELECT DISTINCT security_id, effective_date FROM shares)
 SELECT event_id, strftime(effective_date, '%Y-%m-%d') AS nearest_shares, abs(ex_date - effective_date)::INT AS gap FROM e JOIN s USING (security_id) WHERE abs(ex_date - effective_date) <= 5
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(ex_date - effective_date), effective_date) = 1""")
 def nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "corp_actions").where("event_type = 'CASH_DIVIDEND' AND ex_date IS NOT NULL").select("event_id", "security_id", "ex_date")
+    e = table(spark, d, "corp_actions").where("ex_date IS NOT NULL").select("event_id", "security_id", "ex_date")
     s = table(spark, d, "shares").select("security_id", "effective_date").distinct()
     return pit.nearest(e, s, "security_id", "ex_date", "effective_date", "event_id", "effective_date", 5).select("event_id", text_day("effective_date").alias("nearest_shares"), "gap")
 
 
-@query(f"""WITH {FX}, o AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, 'ASIA' AS quote FROM lineitem)
-SELECT strftime(o.date, '%Y-%m-%d') AS day, CASE WHEN o.date - fx.date <= 7 THEN round(fx.rate, 12) END AS rate, (o.date - fx.date)::INT AS age_days, o.date - fx.date > 7 OR fx.date IS NULL AS stale
+@query(f"""WITH {FX}, o AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, r_name AS quote FROM lineitem, region)
+SELECT o.quote, strftime(o.date, '%Y-%m-%d') AS day, CASE WHEN o.date - fx.date <= 7 THEN round(fx.rate, 12) END AS rate, (o.date - fx.date)::INT AS age_days, o.date - fx.date > 7 OR fx.date IS NULL AS stale
 FROM o ASOF LEFT JOIN fx ON o.quote = fx.quote AND o.date >= fx.date""")
 def fx_as_of(spark: SparkSession, d: str) -> DataFrame:
     """As-of rate at most seven days old; older ones are flagged instead of used."""
-    days = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct().select(F.lit("ASIA").alias("quote"), "date")
-    x = pit.carry_forward(days, fx(spark, d).where("quote = 'ASIA'"), "quote", "date", "rate")
+    days = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+    names = table(spark, d, "region").agg(F.collect_set("r_name")).scalar()  # one per region
+    days = days.select(F.explode(names).alias("quote"), "date")
+    x = pit.carry_forward(days, fx(spark, d), "quote", "date", "rate")
     fresh = F.coalesce(F.col("age_days") <= 7, F.lit(False))
-    return x.select(text_day("date").alias("day"), F.when(fresh, F.round("rate", 12)).alias("rate"), "age_days", (~fresh).alias("stale"))
+    return x.select("quote", text_day("date").alias("day"), F.when(fresh, F.round("rate", 12)).alias("rate"), "age_days", (~fresh).alias("stale"))
 
 
 @query("""SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(grouping(c_mktsegment) + grouping(o_orderstatus) AS INT) AS level

@@ -192,10 +192,10 @@ def weighting_schemes(spark: SparkSession, d: str) -> DataFrame:
     return signals(spark, d).select(text_day("as_of").alias("as_of"), "security_id", *[F.round(cs.normalised_weight(x, g), 10).alias(n) for n, x in w.items()])
 
 
-@query(f"""WITH RECURSIVE {SIGNALS}, b AS (SELECT industry, security_id, sum(signal) AS s FROM sg WHERE security_id <= 400 GROUP BY ALL), w AS (SELECT industry, security_id, s / sum(s) OVER (PARTITION BY industry) AS w, count(*) OVER (PARTITION BY industry) AS n FROM b),
-o AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY w DESC, security_id) - 1 AS i, coalesce(sum(w) OVER (PARTITION BY industry ORDER BY w DESC, security_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
-k AS (SELECT industry, min(i) AS k FROM o WHERE w * (1 - i * 0.02) <= 0.02 * (1 - before) * (1 + 1e-12) GROUP BY industry), s AS (SELECT o.industry, k.k, o.before AS s FROM o JOIN k ON o.industry = k.industry AND o.i = k.k)
-SELECT o.industry, o.security_id, round(CASE WHEN o.i < s.k THEN 0.02 ELSE w * (1 - s.k * 0.02) / (1 - s.s) END, 10) AS capped, TRUE AS feasible FROM o JOIN s ON o.industry = s.industry""".replace("WHERE security_id <= 400 ", ""))
+@query(f"""WITH RECURSIVE {SIGNALS}, b AS (SELECT industry, security_id, sum(signal) AS s FROM sg GROUP BY ALL), w AS (SELECT industry, security_id, s / sum(s) OVER (PARTITION BY industry) AS w FROM b),
+r AS (SELECT 0 AS i, industry, security_id, w, w AS x, FALSE AS done FROM w
+ UNION ALL SELECT i + 1, industry, security_id, w, CASE WHEN done OR x > 0.02 THEN 0.02 ELSE w * (1 - 0.02 * count(*) FILTER (WHERE done OR x > 0.02) OVER p) / sum(CASE WHEN done OR x > 0.02 THEN 0 ELSE w END) OVER p END, done OR x > 0.02 FROM r WHERE i < 60 WINDOW p AS (PARTITION BY industry))
+SELECT industry, security_id, round(CASE WHEN count(*) OVER q * 0.02 >= 1 - 1e-12 THEN x ELSE 1.0 / count(*) OVER q END, 10) AS capped, count(*) OVER q * 0.02 >= 1 - 1e-12 AS feasible FROM r WHERE i = 60 WINDOW q AS (PARTITION BY industry)""")
 def capped_weights(spark: SparkSession, d: str) -> DataFrame:
     b = signals(spark, d).groupBy("industry", "security_id").agg(F.sum("signal").alias("s"))
     return cs.cap_weights(b, ["industry"], "s", 0.02, "security_id").select("industry", "security_id", F.round("capped", 10).alias("capped"), "feasible")
