@@ -112,12 +112,12 @@ def yearly_growth(spark: SparkSession, d: str) -> DataFrame:
     return x.select("security_id", "item", text_day("period_end").alias("period_end"), F.round(F.col("value") / F.col("base") - 1, 8).alias("growth"))
 
 
-@query(f"""WITH {SIGNALS}, m AS (SELECT as_of, avg(signal) AS v FROM sg GROUP BY as_of) SELECT strftime(as_of, '%Y-%m-%d') AS step, round(v - lag(v) OVER (ORDER BY as_of), 2) AS change, round(v - first_value(v) OVER (ORDER BY as_of), 2) AS cumulative FROM m""")
+@query(f"""WITH {SIGNALS}, m AS (SELECT as_of, avg(signal) AS v FROM sg GROUP BY as_of) SELECT strftime(as_of, '%Y-%m-%d') AS step, round(v - lag(v) OVER (ORDER BY as_of), 6) AS change, round(v - first_value(v) OVER (ORDER BY as_of), 6) AS cumulative FROM m""")
 def step_waterfall(spark: SparkSession, d: str) -> DataFrame:
     """Changes from step to step and since the first; one row per month, so the one window is short."""
     m = signals(spark, d).groupBy("as_of").agg(F.avg("signal").alias("v"))
     w = Window.partitionBy(F.lit(0)).orderBy("as_of")
-    return m.select(text_day("as_of").alias("step"), F.round(F.col("v") - F.lag("v").over(w), 2).alias("change"), F.round(F.col("v") - F.first("v").over(w), 2).alias("cumulative"))
+    return m.select(text_day("as_of").alias("step"), F.round(F.col("v") - F.lag("v").over(w), 6).alias("change"), F.round(F.col("v") - F.first("v").over(w), 6).alias("cumulative"))
 
 
 @query(f"""WITH {CLEAN}, r AS (SELECT listing_id, date, close / lag(close) OVER w - 1 AS ret FROM cp WINDOW w AS (PARTITION BY listing_id ORDER BY date)), p AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY listing_id ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS vol, count(ret) OVER (PARTITION BY listing_id ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS n FROM r)
