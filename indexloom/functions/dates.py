@@ -24,3 +24,8 @@ def business_days(first: str, last: str, holidays: list[str]) -> Column:
     """Array of weekdays between two days without the given ``MM-dd`` holidays."""
     days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
     return F.filter(days, lambda d: ~F.dayofweek(d).isin(1, 7) & ~F.date_format(d, "MM-dd").isin(*holidays))
+
+
+def quarter_of(day: Column) -> Column:
+    """Quarter of the year, 1 to 4."""
+    return F.quarter(day)

@@ -91,18 +91,17 @@ def picked_listing(spark: SparkSession, d: str) -> DataFrame:
     return g.select("security_id", "n_active", F.when(F.col("n_active") == 1, F.col("a")).when(F.col("nh") == 1, F.col("h")).alias("picked"))
 
 
-@query("""SELECT a.security_id, b.security_id AS sibling, a.issuer_id FROM securities a JOIN securities b ON a.issuer_id = b.issuer_id AND a.security_id <> b.security_id""")
+@query("""SELECT security_id, issuer_id, count(*) OVER p - 1 AS n_siblings, min(security_id) OVER p AS lead_line FROM (SELECT DISTINCT security_id, issuer_id FROM securities WHERE issuer_id IS NOT NULL AND security_id IS NOT NULL) WINDOW p AS (PARTITION BY issuer_id) QUALIFY count(*) OVER p > 1""")
 def sibling_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Other lines of the same issuer; issuers with one line leave before the join."""
-    s = table(spark, d, "securities").select("security_id", "issuer_id")
-    many = s.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("issuer_id")
-    a = s.join(many, "issuer_id", "left_semi")
-    return a.join(a.select(F.col("security_id").alias("sibling"), "issuer_id"), "issuer_id").where("security_id <> sibling").select("security_id", "sibling", "issuer_id")
+    """Every line of an issuer that has several, with the issuer as its class, the number of its siblings and the class's first line; pairs are not written out."""
+    s = table(spark, d, "securities").where("issuer_id IS NOT NULL AND security_id IS NOT NULL").select("security_id", "issuer_id").distinct()
+    many = s.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("n"), F.min("security_id").alias("lead_line")).where("n > 1")
+    return s.join(many, "issuer_id").select("security_id", "issuer_id", (F.col("n") - 1).alias("n_siblings"), "lead_line")
 
 
-@query("""SELECT issuer_id, count(*) AS n, string_agg(security_id, ',' ORDER BY security_id) AS securities FROM securities WHERE issuer_id IS NOT NULL GROUP BY issuer_id HAVING count(*) > 1""")
+@query("""SELECT issuer_id, count(*) AS n, min(security_id) AS first_line, max(security_id) AS last_line FROM securities WHERE issuer_id IS NOT NULL GROUP BY issuer_id HAVING count(*) > 1""")
 def multiline_issuers(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "securities").where("issuer_id IS NOT NULL").groupBy("issuer_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("security_id")), ",").alias("securities"))
+    g = table(spark, d, "securities").where("issuer_id IS NOT NULL").groupBy("issuer_id").agg(F.count(F.lit(1)).alias("n"), F.min("security_id").alias("first_line"), F.max("security_id").alias("last_line"))
     return g.where("n > 1")
 
 
