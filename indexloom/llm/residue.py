@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from operator import eq
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -236,16 +236,21 @@ def _tools():
 
 _NOSCRIPT = re.compile(r"(?i)<noscript[^<>]*>")
 _TAG = re.compile(TAGS)
+_OTHER_SPACE = re.compile(r"[^\S \r\n]")
 _CUT = re.compile(r"(?<=[.!?])\s+(?=\S)|[\r\n]+")
 _PART = re.compile(r"[^|A-ZÀ-Ü]*")
-_DIGITS, _SPACE, _WORD = re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
+_DIGITS, _SPACE = re.compile(r"\d+"), re.compile(r"\s+")
 
 
 def lines_of(text: str) -> list[str]:
     """The lines of a text: cut at line ends, sentence ends and page tags; blank ones left out."""
     if "<" in text:
         text = _TAG.sub("\n", _NOSCRIPT.sub("\n<noscript ", text))
-    return [s for s in _CUT.split(text) if s and not s.isspace()]
+    if _OTHER_SPACE.search(text):
+        parts = _CUT.split(text)
+    else:  # the same cuts where blanks are the only spaces within a line
+        parts = text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").replace("\r", "\n").split("\n")
+    return [s for s in parts if s and not s.isspace()]
 
 
 def normalised(line: str) -> str:
@@ -254,17 +259,16 @@ def normalised(line: str) -> str:
 
 
 def _repeats(low: str) -> bool:
-    """Whether four words are those two before them, as in every line that a pattern of repetition matches.
+    """Whether words repeat as in every line that a pattern of repetition matches: each is the one two before it, several times on end.
 
-    Of its pieces between blanks, commas and full stops all but the first and last are then plain words, so two are those two before them.
+    Of such a line's pieces between blanks, commas and full stops all but the first and last are
+    then plain words, so two following pieces at least are those two before them.
     """
     if "\u0131" in low or "\u017f" in low or "\u0307" in low:
         return True
     pieces = low.replace(",", " ").replace(".", " ").split()
-    if len(pieces) < 6 or sum(map(eq, pieces, pieces[2:])) < 2:
-        return False
-    words = _WORD.findall(low)
-    return sum(map(eq, words, words[2:])) > 3
+    same = list(map(eq, pieces, pieces[2:]))
+    return any(map(and_, same, same[1:]))
 
 
 def _mentioned(line: str, found: re.Match, before: re.Pattern, after: re.Pattern) -> bool:
