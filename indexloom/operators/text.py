@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 #: Words that carry no meaning for retrieval.
 STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to was what when which who will with".split()
 
@@ -52,7 +54,8 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, query_key:
     q = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     asked = q.agg(F.collect_set("term")).scalar()  # as many terms as the queries have
     t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).withColumn("q", asked).select("doc", F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains(F.col("q"), x)).alias("t"))
-    # per document its length and only the queries' terms; statistics and postings come from this one reading
+    # per document its length and only the queries' terms: texts are read once, statistics and postings come from what is kept
+    t = cut(t)
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     p = t.select("doc", "length", F.explode("t").alias("term")).groupBy("doc", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
