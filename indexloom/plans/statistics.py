@@ -173,11 +173,11 @@ def factor_correlation(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(text_day("as_of").alias("as_of")).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 8).alias("spearman")).where("n >= 20")
 
 
-@query(f"""WITH {SIGNALS} SELECT strftime(as_of, '%Y-%m-%d') AS as_of, count(*) AS n, round(avg(signal), 4) AS mean, round(stddev_samp(signal), 4) AS sd, min(signal) AS low, round(quantile_cont(signal, 0.1), 4) AS p10, round(median(signal), 4) AS mid, round(quantile_cont(signal, 0.9), 4) AS p90, max(signal) AS high FROM sg GROUP BY as_of""")
+@query(f"""WITH {SIGNALS} SELECT strftime(as_of, '%Y-%m-%d') AS as_of, count(*) AS n, round(avg(signal), 6) AS mean, round(stddev_samp(signal), 6) AS sd, min(signal) AS low, round(quantile_cont(signal, 0.1), 6) AS p10, round(median(signal), 6) AS mid, round(quantile_cont(signal, 0.9), 6) AS p90, max(signal) AS high FROM sg GROUP BY as_of""")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return signals(spark, d).groupBy(text_day("as_of").alias("as_of")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("signal"), 4).alias("mean"), F.round(F.stddev_samp("signal"), 4).alias("sd"), F.min("signal").alias("low"), F.round(F.percentile("signal", F.lit(0.1)), 4).alias("p10"),
-        F.round(F.median("signal"), 4).alias("mid"), F.round(F.percentile("signal", F.lit(0.9)), 4).alias("p90"), F.max("signal").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("signal"), 6).alias("mean"), F.round(F.stddev_samp("signal"), 6).alias("sd"), F.min("signal").alias("low"), F.round(F.percentile("signal", F.lit(0.1)), 6).alias("p10"),
+        F.round(F.median("signal"), 6).alias("mid"), F.round(F.percentile("signal", F.lit(0.9)), 6).alias("p90"), F.max("signal").alias("high"),
     )
 
 

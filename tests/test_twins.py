@@ -22,7 +22,7 @@ def tables():
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_twin(spark, tables, name):
-    assert compare.differences(catalogue.queries()[name](spark, SF).toPandas(), tables.execute(catalogue.oracle_sql()[name]).df()) == ""
+    assert compare.differences(catalogue.queries()[name](spark, SF).toPandas(), tables.execute(catalogue.oracle_sql()[name]).df(), relative=1e-7) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
