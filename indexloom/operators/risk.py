@@ -2,7 +2,7 @@
 
 A panel has one row per period and a vector with one entry per asset. Its Gram matrix is summed in
 partial matrices per task (numpy over Arrow batches) and then by (i, j), so nothing is joined with
-itself. What comes to the driver is assets x assets, bounded by ``max_assets``.
+itself. What comes to the driver is assets x assets, bounded by ``MAX_ASSETS``.
 """
 
 from __future__ import annotations
@@ -26,8 +26,16 @@ def _matrix(v: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(v), width)
 
 
-def gram(panel: DataFrame, vector: str, weight: Column | None = None) -> DataFrame:
-    """(i, j, n, w, w2, wi, wj, wij) for i <= j: weighted sums over periods. Rows with a null vector do not count."""
+#: Assets of a block of a panel that is wider than MAX_ASSETS.
+BLOCK = 1024
+
+
+def gram(panel: DataFrame, vector: str, weight: Column | None = None, widest: int = MAX_ASSETS) -> DataFrame:
+    """(i, j, n, w, w2, wi, wj, wij) for i <= j: weighted sums over periods. Rows with a null vector do not count.
+
+    Up to ``widest`` assets a task keeps one partial matrix. Beyond, no matrix is held: every batch
+    gives its sums block by block, which moves more rows and needs memory for one block only.
+    """
     w = weight if weight is not None else F.lit(1.0)
     x = panel.where(F.col(vector).isNotNull()).select(w.cast("double").alias("w"), F.col(vector).cast("array<double>").alias("v"))
 
@@ -38,8 +46,9 @@ def gram(panel: DataFrame, vector: str, weight: Column | None = None) -> DataFra
                 continue
             own = b.column("w").to_numpy().astype(float)
             m = _matrix(b.column("v"), len(b.column("v")[0]))
-            if m.shape[1] > MAX_ASSETS:
-                raise ValueError(f"more than {MAX_ASSETS} assets")
+            if m.shape[1] > widest:
+                yield from _blocks(m, own, min(BLOCK, widest))
+                continue
             e = np.c_[np.ones(len(m)), m]
             g = e.T @ (e * own[:, None])
             total = g if total is None else total + g
@@ -54,6 +63,20 @@ def gram(panel: DataFrame, vector: str, weight: Column | None = None) -> DataFra
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "w", "w2", "wi", "wj", "wij")])
 
 
+def _blocks(m: np.ndarray, own: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """The sums of one batch, a batch of rows per pair of blocks of assets."""
+    n, sums = len(m), own @ m
+    for a in range(0, m.shape[1], size):
+        left = m[:, a : a + size] * own[:, None]
+        for b in range(a, m.shape[1], size):
+            g = left.T @ m[:, b : b + size]
+            i, j = (np.triu_indices(len(g)) if a == b else tuple(x.ravel() for x in np.indices(g.shape)))
+            k = len(i)
+            yield pa.RecordBatch.from_pydict(
+                {"i": pa.array(a + i, pa.int32()), "j": pa.array(b + j, pa.int32()), "n": pa.array(np.full(k, n), pa.int64()), "w": np.full(k, own.sum()), "w2": np.full(k, (own**2).sum()), "wi": sums[a + i], "wj": sums[b + j], "wij": g[i, j]}
+            )
+
+
 def covariances(panel: DataFrame, vector: str) -> DataFrame:
     """Sample covariance (n - 1) and correlation of every pair i <= j; null for fewer than two periods."""
     g = gram(panel, vector).withColumn("cov", F.try_divide(F.col("wij") - F.col("wi") * F.col("wj") / F.col("n"), F.nullif(F.col("n") - 1, F.lit(0))))
@@ -75,7 +98,9 @@ def decayed_covariances(panel: DataFrame, vector: str, order: str, half_life: fl
 
 def matrix_of(cov: DataFrame, value: str = "cov") -> np.ndarray:
     """The full symmetric matrix on the driver; assets x assets, at most MAX_ASSETS squared."""
-    rows = cov.select("i", "j", value).toArrow()
+    rows = cov.where(F.col("j") <= MAX_ASSETS).select("i", "j", value).toArrow()
+    if rows.num_rows and max(rows["j"].to_numpy()) == MAX_ASSETS:
+        raise ValueError(f"a matrix of more than {MAX_ASSETS} assets stays in its rows")
     i, j, v = (rows[c].to_numpy() for c in ("i", "j", value))
     m = np.zeros((int(j.max()) + 1,) * 2) if len(i) else np.zeros((0, 0))
     m[i, j] = v

@@ -152,3 +152,12 @@ def test_hysteresis_per_key(spark):
     df = spark.createDataFrame([(k, D(2024, 1, 1) + dt.timedelta(i), x) for k in ("a", "b") for i, x in enumerate(v)] + [(None, D(2024, 1, 1), 1.0)], "k string, d date, v double")
     got = {(r["k"], r["d"].day): r["adopted"] for r in research.hysteresis(df, "k", "d", "v", 0.5).collect()}
     assert [got["a", i] for i in (1, 2, 3, 4, 5, 7, 8)] == [1.0, 1.0, 1.6, 1.6, 3.0, 3.0, 0.0] and len(got) == 14
+
+
+def test_gram_of_a_panel_wider_than_a_task_holds(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.normal(size=7).tolist()) for i in range(50)] + [(99, None)], "t int, v array<double>").repartition(3)
+    rows = lambda **kw: {(x["i"], x["j"]): x for x in risk.gram(df, "v", F.col("t") + 1.0, **kw).collect()}
+    whole, blocks = rows(), rows(widest=3)
+    assert set(whole) == set(blocks) and len(whole) == 28
+    assert all(math.isclose(whole[k][c], blocks[k][c], rel_tol=1e-9, abs_tol=1e-9) for k in whole for c in ("n", "w", "w2", "wi", "wj", "wij"))
