@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import tracemalloc
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -43,6 +46,30 @@ def test_very_different_variances():
     assert s.feasible and np.allclose(s.weights, (1 / v) / (1 / v).sum(), atol=1e-4)
 
 
+def test_a_wide_book_of_uncorrelated_names_is_solved_without_a_square_matrix():
+    n = 4000
+    v = np.exp(np.random.default_rng(1).uniform(np.log(1e-4), np.log(3600), n))
+    tracemalloc.start()
+    s = op.solve(op.Problem(range(n), np.full(n, 1 / n), v), op.minimise_variance(), [op.full_investment(), op.long_only()], rounds=5000, tolerance=1e-8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < n * n * 8 / 10  # a tenth of one square matrix
+    assert s.feasible and np.allclose(s.weights, (1 / v) / (1 / v).sum(), atol=1e-8)
+
+
+@pytest.mark.parametrize("objective", [op.minimise_variance(), op.minimise_tracking_error(), op.maximise_exposure("score"), op.with_costs(op.mean_variance(5.0), linear_bps=1, impact=1e-3)], ids=lambda o: o.name)
+def test_variances_alone_are_a_diagonal_covariance(objective):
+    p = problem(30, 5)
+    alone = replace(p, covariance=np.diag(p.covariance).copy())
+    full = replace(p, covariance=np.diag(alone.covariance))
+    cs = [op.full_investment(), op.long_only(), op.weight_bounds(0.2), op.tracking_error(0.05), op.turnover(0.4), op.group_deviation("group", 0.02), op.exposure("score", lowest=0.05), op.intensity_reduction("carbon", 0.1), op.liquidity_cap("adv", 4)]
+    for some in (cs, cs[:1]) if objective.name != "exposure:score" else (cs,):
+        a, b = (op.solve(x, objective, some) for x in (alone, full))
+        assert a.feasible and b.feasible and np.allclose(a.weights, b.weights, atol=1e-5) and a.value == pytest.approx(b.value, abs=1e-8)
+    priced = [op.price_constraints(x, objective, cs[:4], 0.01) for x in (alone, full)]
+    assert np.allclose(priced[0].iloc[:, 1:], priced[1].iloc[:, 1:], atol=1e-6)
+
+
 def test_every_constraint_is_met_and_costs_something():
     p = problem(30, 5)
     cs = [op.full_investment(), op.long_only(), op.weight_bounds(0.2), op.tracking_error(0.02), op.turnover(0.2), op.group_deviation("group", 0.02), op.exposure("score", lowest=0.05), op.intensity_reduction("carbon", 0.1), op.liquidity_cap("adv", 4)]
