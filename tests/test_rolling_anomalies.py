@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from indexloom.operators.anomalies import ForestParams, average_path, forest_scores, score_readings
+from indexloom.operators.anomalies import ForestParams, average_path, forest_scores, implausible_readings, score_readings
 from indexloom.operators.rolling import daily_totals, entity_calendar, trailing
 
 D = dt.date
@@ -145,6 +145,21 @@ def test_no_gate_loses_a_case(spark):
     assert got == 9
 
 
+def test_the_forest_says_what_it_suspects_and_flags_come_from_the_rules_alone(spark):
+    c = series(3, 200)
+    c[20:29], c[90] = [c[20]] * 9, c[90] * 1.5
+    rows = spark.createDataFrame(rows_of("a", c) + [(None, D(2022, 1, 1), -1.0, 1.0, False, 0.0, 0)], P)
+    by = {"source": "l", "day": "d", "value": "c", "activity": "v", "paused": "x"}
+    names = ["source", "day", "impossible", "spike", "stuck"]
+    plain = implausible_readings(rows, **by)
+    flagged = sorted(map(tuple, plain.collect()), key=str)
+    assert plain.columns == names and sum(any(r[2:]) for r in flagged) == 10
+    for gate in (0.0, 0.42, 0.6, 2.0):
+        got = score_readings(rows, **by, params=ForestParams(gate=gate)).collect()
+        assert all(r["suspected"] == (r["score"] is not None and r["score"] >= gate) for r in got)
+        assert sorted((tuple(r[k] for k in names) for r in got), key=str) == flagged
+
+
 def test_paused_or_idle_readings_end_a_run(spark):
     rows = rows_of("d", series(9)[:40] + [5.0] * 11)
     rows[45] = (*rows[45][:4], True, 0.0, 0)
